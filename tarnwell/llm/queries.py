@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..sources.tables import table
-from . import leakage, syntax
+from . import leakage, residue, syntax
 
 QUERIES = {
     "p3_found": lambda s, d: syntax.invalid_files(table(s, d, "file_contents"), table(s, d, "files")),
@@ -11,6 +11,8 @@ QUERIES = {
     "p3_rates": lambda s, d: syntax.invalid_rates(table(s, d, "file_contents"), table(s, d, "files")),
     "p7_found": lambda s, d: leakage.leaks(table(s, d, "documents"), table(s, d, "eval_items")).select("doc_id", "item_id"),
     "p7_leak_report": lambda s, d: leakage.leak_report(table(s, d, "documents"), table(s, d, "eval_items")),
+    "p9_found": lambda s, d: residue.residue(table(s, d, "documents")).select("doc_id"),
+    "p9_residue_kinds": lambda s, d: residue.residue(table(s, d, "documents")),
 }
 
 SQL: dict[str, str] = {}
