@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from ..sources.tables import table
-from . import leakage, residue, syntax
+from . import handwritten, leakage, residue, syntax
 
 QUERIES = {
     "p3_found": lambda s, d: syntax.invalid_files(table(s, d, "file_contents"), table(s, d, "files")),
     "p3_file_report": lambda s, d: syntax.syntax_report(table(s, d, "file_contents"), table(s, d, "files")),
     "p3_rates": lambda s, d: syntax.invalid_rates(table(s, d, "file_contents"), table(s, d, "files")),
+    "p6_found": lambda s, d: handwritten.foreign_files(table(s, d, "file_contents"), table(s, d, "files")),
+    "p6_labels": lambda s, d: handwritten.labels(table(s, d, "file_contents"), table(s, d, "files")),
     "p7_found": lambda s, d: leakage.leaks(table(s, d, "documents"), table(s, d, "eval_items")).select("doc_id", "item_id"),
     "p7_leak_report": lambda s, d: leakage.leak_report(table(s, d, "documents"), table(s, d, "eval_items")),
     "p9_found": lambda s, d: residue.residue(table(s, d, "documents")).select("doc_id"),
