@@ -102,8 +102,8 @@ def lanes(logs: DataFrame, traces: DataFrame) -> DataFrame:
 def field_census(df: DataFrame, json: str) -> DataFrame:
     """(field, types, non_null) of the top-level members of JSON objects: sorted type names, count of values."""
     pairs = df.select(F.explode(F.from_json(json, "map<string,string>")).alias("field", "v"), F.col(json).alias("j"))
-    raw = F.get_json_object("j", F.concat(F.lit("$['"), F.col("field"), F.lit("']")))
-    kind = F.when(F.col("v").isNull(), "null").when(F.col("j").rlike("x^"), "").when(raw.rlike(r"^-?\d+(\.\d+)?([eE][+-]?\d+)?$") & ~F.col("j").contains(F.concat(F.lit('"'), raw, F.lit('"'))), "number").when(raw.isin("true", "false"), "boolean").when(raw.startswith("{"), "object").when(raw.startswith("["), "array").otherwise("string")
+    raw = F.expr("get_json_object(j, concat(\"$['\", field, \"']\"))")
+    kind = F.when(F.col("v").isNull(), "null").when(raw.rlike(r"^-?\d+(\.\d+)?([eE][+-]?\d+)?$") & ~F.col("j").contains(F.concat(F.lit('"'), raw, F.lit('"'))), "number").when(raw.isin("true", "false"), "boolean").when(raw.startswith("{"), "object").when(raw.startswith("["), "array").otherwise("string")
     return pairs.withColumn("kind", kind).groupBy("field").agg(F.array_join(F.sort_array(F.collect_set("kind")), ",").alias("types"), F.sum(F.col("v").isNotNull().cast("bigint")).alias("non_null"))
 
 

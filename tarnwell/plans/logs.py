@@ -86,12 +86,12 @@ QUERIES = {
 }
 
 _L = """with lg as (
-    select event_id as id, ts as at, event_type as severity, 'svc' || (user_id % 7) as service_name, case when user_id % 3 = 0 then 'app' || (user_id % 5) end as app,
+    select event_id as id, ts as "at", event_type as severity, 'svc' || (user_id % 7) as service_name, case when user_id % 3 = 0 then 'app' || (user_id % 5) end as app,
            case when event_type <> 'view' then event_type || '.svc' || (user_id % 7) end as context, props as body from events),
     nm as (select *, coalesce(nullif(service_name, 'svc0'), nullif(app, ''), service_name) as service from lg)"""
 
 SQL = {
-    "agg_service_inventory": _L + " select service, count(*) as n, min(at) as first_at, max(at) as last_at, count(*) filter (upper(severity) like 'ERR%') as errors, count(*) filter (upper(severity) like 'WARN%') as warnings, count(distinct context) as contexts, count(service_name) as by_resource, count(app) as by_enricher from nm group by 1",
+    "agg_service_inventory": _L + " select service, count(*) as n, min(\"at\") as first_at, max(\"at\") as last_at, count(*) filter (upper(severity) like 'ERR%') as errors, count(*) filter (upper(severity) like 'WARN%') as warnings, count(distinct context) as contexts, count(service_name) as by_resource, count(app) as by_enricher from nm group by 1",
     "agg_identity_source": _L + " select service, case when count(service_name) > 0 and count(app) > 0 then 'mixed' when count(service_name) > 0 then 'resource' when count(app) > 0 then 'enricher' end as source from nm group by 1",
     "agg_log_stats": "select event_type as key, count(*) as n from events group by 1",
     "agg_log_stats_by_service": _L + " select service as key, count(*) as n from nm group by 1",
