@@ -44,7 +44,7 @@ class Hierarchy:
     """
 
     def __init__(self, links: DataFrame, hot_rows: int = HOT_ROWS):
-        self.spark, self.hot_rows = links.sparkSession, hot_rows
+        self.spark, self.hot_rows, self._nodes = links.sparkSession, hot_rows, None
         self.scratch = Scratch(self.spark, "hierarchy")
         self.peeled: list[DataFrame] = []
         left = self.scratch.save(links.select(*KEY, "parent", F.lit(0).cast("bigint").alias("below")), "links")
@@ -86,6 +86,11 @@ class Hierarchy:
 
     def nodes(self) -> DataFrame:
         """(scope, id, parent, up, n_descendants, state) of all nodes; up is NULL unless state is tree."""
+        if self._nodes is None:
+            self._nodes = self._walk_down()
+        return self._nodes
+
+    def _walk_down(self) -> DataFrame:
         inner = self.rest.where(F.col("state") == "tree")
         sizes = inner.select("scope", F.explode("up").alias("id"), (F.col("below") + 1).alias("more")).groupBy(*KEY).agg(F.sum("more").alias("more"))
         top = self.rest.join(sizes, KEY, "left").select(*KEY, "parent", F.when(F.col("state") == "tree", F.col("up")).alias("up"), (F.col("below") + F.coalesce("more", F.lit(0))).alias("n"), "state")
@@ -100,13 +105,13 @@ class Hierarchy:
         return done.select(*KEY, "parent", "up", F.when(F.col("state") != "cycle", F.col("n")).alias("n_descendants"), "state")
 
 
-def hierarchy(symbols: DataFrame) -> DataFrame:
+def hierarchy(symbols: DataFrame, built: Hierarchy | None = None) -> DataFrame:
     """(repo_id, symbol_id, path, depth, root_id, n_descendants, state) of each live symbol.
 
     path holds the symbol ids from the root down, joined by /. state: tree, cycle or below_cycle; path, depth
     and root_id are NULL but for tree, n_descendants is NULL for cycle.
     """
-    nodes = Hierarchy(live_links(symbols)).nodes()
+    nodes = (built or Hierarchy(live_links(symbols))).nodes()
     line = F.concat(F.reverse("up"), F.array("id"))
     return nodes.select(
         F.col("scope").alias("repo_id"), F.col("id").alias("symbol_id"), F.array_join(line, "/").alias("path"), F.when(F.col("up").isNotNull(), F.size("up")).cast("bigint").alias("depth"),
@@ -114,9 +119,9 @@ def hierarchy(symbols: DataFrame) -> DataFrame:
     )
 
 
-def descendants(symbols: DataFrame) -> DataFrame:
+def descendants(symbols: DataFrame, built: Hierarchy | None = None) -> DataFrame:
     """(repo_id, symbol_id, descendant_id, distance): every live symbol with each symbol below it, in long form."""
-    nodes = Hierarchy(live_links(symbols)).nodes().where(F.col("up").isNotNull())
+    nodes = (built or Hierarchy(live_links(symbols))).nodes().where(F.col("up").isNotNull())
     return nodes.select(F.col("scope").alias("repo_id"), F.col("id").alias("descendant_id"), F.posexplode("up").alias("p", "symbol_id")).select("repo_id", "symbol_id", "descendant_id", (F.col("p") + 1).cast("bigint").alias("distance"))
 
 
