@@ -74,7 +74,7 @@ def _python_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out = []
         for repo, path, text in zip(b["repo_id"], b["path"], b["content"]):
             try:
-                tree = ast.parse((text or "").lstrip("﻿"))
+                tree = ast.parse((text if isinstance(text, str) else "").lstrip("﻿"))
             except (SyntaxError, ValueError, RecursionError):
                 continue
             todo: list[tuple[ast.AST, str | None]] = [(tree, None)]
