@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from ..packrat import Grammar
 
-SKIP = r"[\s﻿]++|//[^\n\r]*+|/\*(?:[^*]++|\*(?!/))*+\*/|(?:(?<=[\n\r])|(?<=[\n\r][ \t])|(?<=\A))\#[^\n\r]*+"
+SKIP = r"[\s﻿]++|//[^\n\r]*+|/\*(?:[^*]++|\*(?!/))*+\*/|(?:(?<=[\n\r])|(?<=[\n\r][ \t])|(?<=\A)|(?<=﻿))\#[^\n\r]*+"
 _IN_TEXT = SKIP.replace("/", "\\/")
 
 _RESERVED = "abstract as base bool break byte case catch char checked class const continue decimal default delegate do double else enum event explicit extern false finally fixed float for foreach goto if implicit in int interface internal is lock long namespace new null object operator out override params private protected public readonly ref return sbyte sealed short sizeof stackalloc static string struct switch this throw true try typeof uint ulong unchecked unsafe ushort using virtual void volatile while"
@@ -51,7 +51,8 @@ VarInit ~= ArrayInit | 'ref' Expr | Expr
 ArrayInit = '{{' (VarInit (',' VarInit)* ','?)? '}}'
 Arrow ~= '=>' ('ref' Expr | Throw | Expr)
 
-Type = ('ref' /readonly(?=\s)/?)? TypeCore (/\?(?![?.:\[])(?!\s*[\w"(@$!~-][^;{{}}\n]*:(?!:))|\*/ | /\[[\s,]*\]/)*
+Type = ('ref' /readonly(?=\s)/?)? TypeCore (/\?(?![?.:\[])|\*/ | /\[[\s,]*\]/)*
+Bare ~= TypeCore (/\?(?=\[\])/? /\[[\s,]*\]/)*
 TypeCore ~= /(?:{'|'.join(_NAMED_TYPES.split())})(?!\w)/ | '(' TupleItem (',' TupleItem)+ ')' | 'delegate' '*' TypeArgs | QName
 TupleItem ~= Type Id?
 TypeArgs = '<' (Type (',' Type)* | /,*/) ~/>/ Skip
@@ -79,7 +80,7 @@ Throw = 'throw' Expr
 
 Expr = Lambda | Query | Throw | Unary /(?:=(?![=>])|(?:\?\?|<<|>>>?|[+\-*\/%&|^])=)/ ('ref'? Expr | ArrayInit) | Cond
 Cond = Binary ('?' (Throw | Expr) ':' (Throw | Expr))?
-Binary ~= Range (/(?:\?\?|&&|\|\||==|!=|<<|<=|>=|>>>|>>|[<>+\-*\/%&|^])(?![=])|<=|>=|==|!=/ (Throw | Range) | 'is' Pattern | 'as' Type)*
+Binary ~= Range (/(?:\?\?|&&|\|\||==|!=|<<|<=|>=|>>>|>>|[<>+\-*\/%&|^])(?![=])|<=|>=|==|!=/ (Throw | Range) | 'is' Pattern | 'as' Bare)*
 Range ~= Unary (/\.\./ Unary?)? | /\.\./ Unary?
 Unary = /\+\+|--|[+\-!~&*^]|await(?=\s+[\w@(])/ Unary | Cast | Postfix
 Cast = '(' Type ')' &/[\w@"'(~!$\x7f-\uffff]|\{{/ !/(?:is|as|in|and|or|switch|with|when)(?!\w)/ Unary
@@ -106,8 +107,9 @@ QueryPart ~= From | 'let' Id '=' Expr | 'where' Expr | 'join' (Type Id | Id) 'in
 
 Pattern = PatAnd ('or' PatAnd)*
 PatAnd ~= PatUnary ('and' PatUnary)*
-PatUnary = 'not' PatUnary | /<=|>=|[<>]/ Range | '(' Pattern ')' !/\{{/ | PatRec | 'var' Id | /_(?!\w)/ | '[' ('..' Pattern? | Pattern)? (',' ('..' Pattern? | Pattern))* ']' | Type Id !/[.(]/ | Range
-PatRec ~= Type? ('(' (SubPat (',' SubPat)*)? ')')? '{{' (SubPat (',' SubPat)* ','?)? '}}' Id? | Type? '(' (SubPat (',' SubPat)*)? ')' Id?
+PatUnary = 'not' PatUnary | /<=|>=|[<>]/ Range | '(' Pattern ')' !/\{{/ | PatRec | 'var' Id | /_(?!\w)/ | '[' ('..' Pattern? | Pattern)? (',' ('..' Pattern? | Pattern))* ']' | Bare Name !/[.(]/ | Bare !/[.(<]/ | Range
+PatRec ~= Bare? ('(' (SubPat (',' SubPat)*)? ')')? '{{' (SubPat (',' SubPat)* ','?)? '}}' Name? | Bare? '(' (SubPat (',' SubPat)*)? ')' Name?
+Name ~= !/(?:and|or|when|select|where|from|let|join|on|equals|into|orderby|group|by|ascending|descending)(?!\w)/ Id
 SubPat ~= (Id (~/\./ Skip Id)* ':')? Pattern
 
 Lit ~= Str | Interp | /'(?:[^'\\\n\r]|\\[^\n\r][0-9a-fA-F]*)'/ | /(?:0[xX][0-9a-fA-F_]+|0[bB][01_]+|(?:\d[\d_]*(?:\.\d[\d_]*)?|\.\d[\d_]*)(?:[eE][+-]?\d+)?)[uUlLfFdDmM]{{0,2}}(?!\w)/

@@ -22,8 +22,10 @@ Rule = Selector (',' Selector)* Block
 Selector = Sel+
 Sel ~= /[>+~|*&]|::?[\w-]+|[.#]?-?(?:[^\W\d]|_|\\.|--)(?:[\w-]|\\.)*|\d[\d.]*%|#[\w-]+|\.\d*/ | '[' Str? (Str | /[^"'\[\]{}]/)* ']' | '(' Inner* ')'
 Block = '{' Item* '}'
-Item ~= ';' | AtRule | Decl (';' | &/\}/) | Rule
+Item ~= ';' | AtRule | Custom (';' | &/\}/) | Decl (';' | &/\}/) | Rule
 Decl = /[*_]?(?:--[\w-]*|-?(?:[^\W\d]|\\.)(?:[\w-]|\\.)*)(?=\s*:|\s*\/\*)/ ':' Piece* Block?
+Custom ~= /--[\w-]*(?=\s*:)/ ':' Any*
+Any = Piece | '{' (Any | ';')* '}'
 Str ~= /"(?:[^"\\\n\r\f]|\\(?:\r\n|[\s\S]))*+"|'(?:[^'\\\n\r\f]|\\(?:\r\n|[\s\S]))*+'/
 Url ~= /url\(\s*(?!["'])(?:[^"'()\\\s]|\\.)*\s*\)/
 Piece = Url | Str | /(?:[^\s"'(){}\[\];@\/]|@(?=[\w-])|\\.)+|\/(?!\*)/ | '(' Inner* ')' | '[' Inner* ']'

@@ -102,7 +102,7 @@ Cast ~= /(?:try_)?cast(?!\w)/ '(' Expr 'as' DataType ')'
 Special ~= 'extract' '(' Any 'from' Expr ')' | 'position' '(' Add 'in' Add ')' | 'substring' '(' Expr ('from' Expr)? ('for' Expr)? ')' | 'trim' '(' /leading|trailing|both/? Expr? ('from' Expr)? ')' | 'overlay' '(' Expr 'placing' Expr 'from' Expr ('for' Expr)? ')'
 Func = !/(?:values|exists|array)(?!\w)/ (Name | /(?:left|right|user|any|all|some|unique|check|default)(?=\s*\()/) '(' (/distinct|all(?=\s)/? (Arg (',' Arg)*)? ('order' 'by' Order (',' Order)*)?) ')' (/within\s+group/ '(' 'order' 'by' Order (',' Order)* ')')? (/filter(?!\w)/ '(' 'where' Expr ')')? (/(?:ignore|respect)\s+nulls/)? ('over' (Over | Id))?
 Arg ~= (Id /=>|:=/)? ('variadic'? Expr | Query)
-Over ~= '(' Id? ('partition' 'by' Args)? ('order' 'by' Order (',' Order)*)? (/(?:rows|range|groups)(?!\w)/ AlterTok+)? ')'
+Over ~= '(' (!/(?:partition|rows|range|groups)(?!\w)/ Id)? ('partition' 'by' Args)? ('order' 'by' Order (',' Order)*)? (/(?:rows|range|groups)(?!\w)/ AlterTok+)? ')'
 Args = Expr (',' Expr)*
 """
 

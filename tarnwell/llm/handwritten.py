@@ -16,8 +16,8 @@ from ..session import Scratch
 from .syntax import with_language
 
 LABELS = ["handwritten", "generated", "minified", "vendored", "blob"]
-#: Log-odds with which a file is hand-written before anything is known of it.
-PRIOR = 2.0
+#: Log-odds with which a file, and a directory, is hand-written before anything is known of it or what is around it.
+FILE_PRIOR, DIR_PRIOR = 1.2, 2.0
 #: Bodies shorter than this are too common to tell a copy.
 BODY_CHARS = 200
 
@@ -39,9 +39,9 @@ DIR_GIVEN_DIR = {
 
 # Directory names that by common usage hold one kind of file, as log-odds against hand-written.
 DIR_NAMES = {
-    "vendored": {"node_modules": 6, "vendor": 6, "_vendor": 6, "third_party": 6, "third-party": 6, "thirdparty": 6, "3rdparty": 6, "external": 5, "externals": 5, "bower_components": 6, "site-packages": 6, "pods": 4},
-    "generated": {"gen": 5, "generated": 6, "__generated__": 6, "autogen": 5, "obj": 5, "__snapshots__": 4},
-    "minified": {"dist": 2.5},
+    "vendored": {"node_modules": 8, "vendor": 8, "_vendor": 8, "third_party": 8, "third-party": 8, "thirdparty": 8, "3rdparty": 8, "external": 7, "externals": 7, "bower_components": 8, "site-packages": 8, "pods": 4},
+    "generated": {"gen": 7, "generated": 8, "__generated__": 8, "autogen": 7, "obj": 7, "__snapshots__": 4},
+    "minified": {"dist": 5},
 }
 # File names that tools give to their output.
 _GENERATED_NAME = re.compile(r"(?:\.(?:g|gen|generated|designer|pb|g\.i)\.\w+|_pb2(?:_grpc)?\.pyi?|_pb\.(?:js|ts)|\.pb\.(?:go|cc|h|js|ts)|_gen\.\w+|_generated\.\w+)$", re.I)
@@ -115,7 +115,7 @@ def evidence(path: str, language: str | None, text: str) -> list[float]:
             e[4] += 7.5
         elif data > 0.42:
             e[4] += 5.5
-        if code[0] not in "{[" and (len(rows) >= 8 or long > 0.5 * n):
+        if e[2] < 7 and code[0] not in "{[" and (len(rows) >= 8 or long > 0.5 * n):
             e[1] += _repeats(rows, code)
     return e
 
@@ -141,7 +141,7 @@ def body_key(text: str) -> str | None:
 def _look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         texts = b["content"].fillna("")
-        e = [evidence(p, language, t) for p, language, t in zip(b["path"], b["language"], texts)]
+        e = [evidence(p, language, t) for p, language, t in zip(b["path"], b["language"].astype(object).where(b["language"].notna(), None), texts)]
         out = pd.DataFrame(e, columns=[f"e{i}" for i in range(5)])
         yield out.assign(repo_id=b["repo_id"].values, path=b["path"].values, body=[body_key(t) for t in texts])[["repo_id", "path", "body", *out.columns]]
 
@@ -184,7 +184,7 @@ def labels(contents: DataFrame, files: DataFrame) -> DataFrame:
     copied = F.when(F.col("n") >= 4, 7.0).when(F.col("n") == 3, 4.0).when(F.col("n") == 2, 2.5).otherwise(0.0)
     key = F.replace("path", F.lit("\\"), F.lit("/"))
     folder = F.when(key.contains("/"), F.regexp_replace(key, r"/[^/]*$", "")).otherwise(F.lit(""))
-    seen = seen.select("repo_id", "path", folder.alias("dir"), (F.col("e0") + PRIOR).alias("e0"), "e1", "e2", (F.col("e3") + copied).alias("e3"), "e4")
+    seen = seen.select("repo_id", "path", folder.alias("dir"), (F.col("e0") + FILE_PRIOR).alias("e0"), "e1", "e2", (F.col("e3") + copied).alias("e3"), "e4")
     seen = scratch.save(seen.select("*", *[m.alias(f"u{k}") for k, m in enumerate(_up("e", FILE_GIVEN_DIR))]), "files")
     sums = [F.sum(f"u{k}").alias(f"s{k}") for k in range(5)]
     from_files = scratch.save(seen.groupBy("repo_id", "dir").agg(*sums), "from_files")
@@ -194,11 +194,11 @@ def labels(contents: DataFrame, files: DataFrame) -> DataFrame:
     base = F.lower(F.regexp_extract("dir", r"([^/]*)$", 1))
     named = []
     for label in LABELS:
-        c = F.lit(PRIOR if label == "handwritten" else 0.0)
+        c = F.lit(DIR_PRIOR if label == "handwritten" else 0.0)
         for name, odds in DIR_NAMES.get(label, {}).items():
             c = c + F.when(base == name, float(odds)).otherwise(0.0)
         if label == "vendored":
-            c = c + F.when(F.lower("dir").rlike(r"(?:^|/)wwwroot/lib$"), 6.0).otherwise(0.0)
+            c = c + F.when(F.lower("dir").rlike(r"(?:^|/)wwwroot/lib$"), 8.0).otherwise(0.0)
         named.append(c)
     dirs = dirs.select("repo_id", "dir", F.when(F.col("dir") == "", 0).otherwise(F.size(parts)).alias("depth"), F.when(F.col("dir").contains("/"), F.regexp_replace("dir", r"/[^/]*$", "")).otherwise(F.lit("")).alias("up"), *[c.alias(f"b{k}") for k, c in enumerate(named)])
     dirs = dirs.join(from_files, ["repo_id", "dir"], "left").select("repo_id", "dir", "depth", "up", *[(F.col(f"b{k}") + F.coalesce(f"s{k}", F.lit(0.0))).alias(f"b{k}") for k in range(5)])

@@ -93,7 +93,7 @@ def _fingerprints(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         out = []
         for text in b["text"]:
-            h = grams(words(text or ""), GRAM)
+            h = grams(words(text if isinstance(text, str) else ""), GRAM)
             out.append(np.unique(h[winnow(h)]).view(np.int64).tolist())
         yield pd.DataFrame({"id": b["id"], "prints": out})
 

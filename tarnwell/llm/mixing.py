@@ -38,7 +38,7 @@ def token_counts(documents: DataFrame, tokenizers: str = TOKENIZERS) -> DataFram
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode = _encoder(tokenizers).encode_ordinary
         for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"], "source": b["source"], "n_tokens": [sum(len(encode(t[i : i + 500_000])) for i in range(0, len(t), 500_000)) if t else 0 for t in b["text"]]})
+            yield pd.DataFrame({"doc_id": b["doc_id"], "source": b["source"], "n_tokens": [sum(len(encode(t[i : i + 500_000])) for i in range(0, len(t), 500_000)) if isinstance(t, str) else 0 for t in b["text"]]})
 
     docs = documents.where(F.col("doc_id").isNotNull()).select("doc_id", "source", "text").repartition(tasks(documents))
     return docs.mapInPandas(count, "doc_id bigint, source string, n_tokens bigint")
@@ -75,7 +75,7 @@ def pivot(rows: list[list], last: bool, seed: int = 0) -> list[list]:
         if row[6]:
             continue
         if row[2] <= 0 or row[4] <= 1e-12 or row[4] >= 1 - 1e-12:
-            row[5], row[6] = row[3] + (row[4] >= 0.5 and row[2] > 0), True
+            row[5], row[6] = (row[3] + (row[4] >= 0.5) if row[2] > 0 else 0), True
             continue
         if open_row is None:
             open_row = row

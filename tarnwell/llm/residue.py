@@ -32,7 +32,7 @@ PLACEHOLDERS = re.compile(
     | %%{_NAME}%%
     | @@{_NAME}@@
     | (?<![\w_])__(?!init__|main__|name__|file__|all__|doc__)[A-Za-z][A-Za-z0-9_.]*?__(?![\w_])
-    | \$[A-Za-z][A-Za-z0-9_.]{2,}\$
+    | \$[A-Za-z][A-Za-z0-9_.]{{2,}}\$
     | \[\[\s*{_NAME}\s*\]\]
     | (?<![\w$#{{])\{{{_NAME}\}}
     | \[(?:insert|your|enter|add|fill\s+in|todo|tbd|placeholder)\b[^\]\n]{{0,60}}\](?!\()

@@ -18,6 +18,8 @@ from ..session import Scratch
 SECTION = 64
 RANK_ERROR = 0.0062
 QUANTILES = (0.5, 0.9, 0.99)
+#: Stands for a NULL group within a task.
+NO_GROUP = "\x1eno group"
 CHUNK_ROWS = 500_000
 FAN_IN = 16
 STATE = "series int, grp string, day int, level int, flips bigint, sections int, vals array<double>, n bigint"
@@ -118,7 +120,7 @@ def _partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
     def fold(chunk: list[pd.DataFrame]) -> None:
         rows = pd.concat(chunk, ignore_index=True)
-        codes, keys = pd.factorize(pd.MultiIndex.from_arrays([rows["series"], rows["grp"].fillna("\0"), rows["day"].fillna(-(2**31))]))
+        codes, keys = pd.factorize(pd.MultiIndex.from_arrays([rows["series"], rows["grp"].fillna(NO_GROUP), rows["day"].fillna(-(2**31))]))
         order = np.argsort(codes, kind="stable")
         values, codes = rows["value"].to_numpy(float)[order], codes[order]
         for part, start in zip(np.split(values, np.flatnonzero(np.diff(codes)) + 1), np.concatenate([[0], np.flatnonzero(np.diff(codes)) + 1])):
@@ -137,7 +139,7 @@ def _partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             held, n = [], 0
     if held:
         fold(held)
-    out = [row for (series, grp, day), s in sketches.items() for row in _state(series, None if grp == "\0" else grp, None if day == -(2**31) else int(day), s)]
+    out = [row for (series, grp, day), s in sketches.items() for row in _state(series, None if grp == NO_GROUP else grp, None if day == -(2**31) else int(day), s)]
     for i in range(0, len(out), 2000):
         yield pd.DataFrame(out[i : i + 2000], columns=_NAMES).astype({"day": "Int32"})
 
@@ -161,7 +163,7 @@ def _merge_task(with_day: bool, report: bool):
         for b in batches:
             days = b["day"].astype("Int64").tolist() if with_day else [None] * len(b)
             for series, grp, day, level, flips, sections, vals in zip(b["series"], b["grp"], days, b["level"], b["flips"], b["sections"], b["vals"]):
-                key = (int(series), grp, None if day is None or day is pd.NA else int(day))
+                key = (int(series), grp if isinstance(grp, str) else None, None if day is None or day is pd.NA else int(day))
                 if key not in sketches:
                     sketches[key] = (Compactors(_key(*key)), [])
                 sketch, pending = sketches[key]

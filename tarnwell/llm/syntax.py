@@ -50,7 +50,7 @@ def judge(text: str, language: str) -> tuple[bool, int | None, int | None, str |
     near = text[max(0, begin - 1) : end if end >= 0 else len(text)]
     if _MARKER.search(near):
         return False, at, line, "conflict"
-    for other in LANGUAGES:
+    for other in LANGUAGES if text.strip() else ():
         if other != language and parser(other).parse(text) < 0:
             return False, at, line, f"written in {other}"
     if not text[at:].strip():
