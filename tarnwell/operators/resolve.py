@@ -133,3 +133,43 @@ def endpoint_match(calls: DataFrame, routes: DataFrame) -> DataFrame:
         found = x if found is None else found.unionByName(x)
     best = found.groupBy("call").agg(F.min(F.struct("rank", "route", "tier")).alias("b"))
     return best.select("call", "b.route", "b.tier")
+
+
+def packages(edges: DataFrame, symbols: DataFrame) -> DataFrame:
+    """(edge_id, symbol_id): npm: and nuget: tokens to the module of that name, the first by repository and id."""
+    m = symbols.where("kind = 'module'").groupBy("name").agg(F.min(F.struct("repo_id", "symbol_id")).alias("m"))
+    e = edges.where(F.col("to_id").rlike("^(npm|nuget):")).select("edge_id", F.regexp_replace("to_id", "^(npm|nuget):", "").alias("name"))
+    return e.join(m, "name").select("edge_id", F.col("m.symbol_id").alias("symbol_id"))
+
+
+def publish_consume(edges: DataFrame) -> DataFrame:
+    """(contract, producer, consumer): who publishes and who consumes a contract: token, not to itself."""
+    side = lambda kind, name: edges.where(F.col("type") == kind).select(F.col("to_id").alias("contract"), F.col("from_id").alias(name)).distinct()
+    return side("PUBLISHES", "producer").join(side("CONSUMES", "consumer"), "contract").where("producer <> consumer")
+
+
+def base_chain(edges: DataFrame, depth: int = 8) -> DataFrame:
+    """(repo_id, class_id, base_id, level): the bases of each class, nearest first, along its first base."""
+    one = edges.where(F.col("type") == "EXTENDS").groupBy("repo_id", F.col("from_id").alias("class_id")).agg(F.min(F.struct("edge_id", "to_id")).alias("x")).select("repo_id", "class_id", F.col("x.to_id").alias("base_id"))
+    up = one.select("repo_id", F.col("class_id").alias("base_id"), F.col("base_id").alias("next"))
+    level, found = one.withColumn("level", F.lit(1)), one.withColumn("level", F.lit(1))
+    for k in range(2, depth + 1):
+        level = level.join(up, ["repo_id", "base_id"]).where("next <> class_id").select("repo_id", "class_id", F.col("next").alias("base_id"), F.lit(k).alias("level"))
+        found = found.unionByName(level)
+    return found.groupBy("repo_id", "class_id", "base_id").agg(F.min("level").alias("level"))
+
+
+def components(edges: DataFrame, symbols: DataFrame) -> DataFrame:
+    """(edge_id, symbol_id): component: tokens to a component of that name in a file that the source imports."""
+    src = symbols.select("repo_id", F.col("symbol_id").alias("from_id"), F.col("file_path").alias("source_file"))
+    e = edges.where(F.col("to_id").startswith("component:")).select("repo_id", "edge_id", "from_id", F.regexp_replace("to_id", "^component:", "").alias("name")).join(src, ["repo_id", "from_id"])
+    c = symbols.where("kind in ('component', 'class')").select("repo_id", "name", "symbol_id", F.col("file_path").alias("target_file"))
+    x = e.join(c, ["repo_id", "name"]).join(imported_files(edges, symbols), ["repo_id", "source_file", "target_file"], "left_semi")
+    return x.groupBy("edge_id").agg(F.min("symbol_id").alias("symbol_id"))
+
+
+def sql_definitions(objects: DataFrame) -> DataFrame:
+    """(key, definition, state) of (key, seq, action, definition): the last action of a name decides whether it is current
+    or dropped; ties by definition."""
+    last = objects.groupBy("key").agg(F.max(F.struct("seq", "action", "definition")).alias("x"))
+    return last.select("key", F.col("x.definition").alias("definition"), F.when(F.col("x.action") == "drop", "dropped").otherwise("current").alias("state"))

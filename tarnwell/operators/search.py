@@ -29,7 +29,8 @@ def bm25(docs: DataFrame, query: list[str], prefix: bool = False) -> DataFrame:
     hits = lambda t: F.size(F.filter(words, lambda w: w.startswith(t) if prefix else w == F.lit(t)))
     counted = docs.where("text is not null").select("doc_id", F.size(words).alias("len"), *[hits(t).alias(f"t{i}") for i, t in enumerate(q)])
     stats = counted.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg"), *[F.count_if(F.col(f"t{i}") > 0).alias(f"d{i}") for i in range(len(q))])
-    x = counted.where(" or ".join(f"t{i} > 0" for i in range(len(q)))).join(F.broadcast(stats))  # one row
+    hits_any = counted.where(" or ".join(f"t{i} > 0" for i in range(len(q))))
+    x = hits_any.withColumn("one", F.lit(1)).join(F.broadcast(stats.withColumn("one", F.lit(1))), "one")  # stats is one row
     score = F.lit(0.0)
     for i in range(len(q)):
         idf = F.log(1 + (F.col("n") - F.col(f"d{i}") + 0.5) / (F.col(f"d{i}") + 0.5))

@@ -64,10 +64,6 @@ def _unresolved(s, d):
     return e.groupBy("repo_id").agg(*[of(p) for p in ("callee", "import", "type", "property")], F.round(ratio, 6).alias("import_ratio"))
 
 
-def _probes(s, d):
-    return base.symbols(s, d).where("end_line is not null").select("repo_id", "file_path", F.col("end_line").alias("line"), F.monotonically_increasing_id().alias("probe"))
-
-
 def _probe_ids(s, d):
     p = base.symbols(s, d).where("end_line is not null").select("repo_id", "file_path", F.col("end_line").alias("line")).distinct()
     return op.enclosing(p.withColumn("probe", F.lit(1)), base.symbols(s, d)).select("repo_id", "file_path", "line", "symbol_id")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar as fn
@@ -68,6 +69,13 @@ def _routes(s, d):
     return p.select(F.concat(F.lit("/"), "p").alias("path")), p.select(F.concat(F.lit("/gw/"), F.replace("p", F.lit("{id}"), F.lit("{x}"))).alias("path"))
 
 
+def _definitions(s, d):
+    """Objects that the audit log creates, alters and drops."""
+    a = table(s, d, "audit_log").where("target_table is not null").distinct()
+    action = F.when(F.col("statement_type") == "DROP", "drop").otherwise("define")
+    return resolve.sql_definitions(a.select(F.lower("target_table").alias("key"), F.struct("ts", "id").alias("seq"), action.alias("action"), F.col("sql_hash").alias("definition")))
+
+
 QUERIES = {
     "r_best_candidate": lambda s, d: resolve.best_candidate(base.edges(s, d), base.symbols(s, d), "callee", CALLABLE),
     "r_calls": _resolve("callee", CALLABLE),
@@ -78,6 +86,14 @@ QUERIES = {
     "r_extends": _resolve("base", ["class"]),
     "r_css": lambda s, d: base.edges(s, d).where(F.col("to_id").startswith("cssclass:")).select("repo_id", "edge_id", F.regexp_replace("to_id", "^cssclass:", "").alias("name")).join(base.symbols(s, d).where("kind = 'css_class'").select("repo_id", "name", "symbol_id"), ["repo_id", "name"]).select("edge_id", "symbol_id"),
     "r_external_tag": lambda s, d: base.edges(s, d).where("type = 'IMPORTS'").where(F.substring_index(F.regexp_replace("to_id", "^import:", ""), ".", 1).isin(*EXTERNAL)).select("edge_id", F.lit(0.1).alias("confidence")),
+    "r_packages": lambda s, d: resolve.packages(base.edges(s, d), base.symbols(s, d)),
+    "r_publish_consume": lambda s, d: resolve.publish_consume(base.edges(s, d).withColumn("type", F.when(F.col("to_id") == "npm:react", "PUBLISHES").when(F.col("type") == "DEPENDS_ON", F.lit("CONSUMES")).otherwise(F.col("type")))),
+    "r_components": lambda s, d: resolve.components(base.edges(s, d).withColumn("to_id", F.when(F.col("type") == "EXTENDS", F.regexp_replace("to_id", "^base:", "component:")).otherwise(F.col("to_id"))), base.symbols(s, d)),
+    "x_python_mro": lambda s, d: resolve.base_chain(base.edges(s, d), 4),
+    "win_current_definition": lambda s, d: _definitions(s, d),
+    "g_sql_drop_state": lambda s, d: _definitions(s, d).groupBy("state").agg(F.count(F.lit(1)).alias("n")),
+    "win_predecessor": lambda s, d: table(s, d, "ddl_history").where("version is not null").select("environment", "version").distinct().withColumn("before", F.lag("version").over(Window.partitionBy("environment").orderBy("version"))),
+    "win_position_penalty": lambda s, d: search.symbol_candidates(base.symbols(s, d), "trace"),
     "r_interface_dispatch": lambda s, d: base.edges(s, d).where("type = 'CALLS'").join(graph.interface_siblings(base.symbols(s, d), base.edges(s, d), 10).select("repo_id", F.col("symbol_id").alias("to_id"), "sibling_id"), ["repo_id", "to_id"]).select("repo_id", "from_id", F.col("sibling_id").alias("to_id"), F.lit(0.7).alias("confidence")).distinct(),
     "r_cross_repo": lambda s, d: resolve.cross_repo(base.edges(s, d), base.symbols(s, d)),
     "r_edge_policy": lambda s, d: graph.cap_per_group(base.edges(s, d).where("type = 'CALLS' and confidence >= 0.4"), ["repo_id", "from_id"], "edge_id", 12).select("edge_id"),
@@ -153,7 +169,15 @@ _CAND = _S + r""", b as (select repo_id, symbol_id, name, (case when lower(name)
     c as (select *, row_number() over (partition by repo_id order by base desc, length(name), name, symbol_id) - 1 as rn from b)"""
 _KNN = "with q as (select vec_id as query_id, embedding as e from embeddings where vec_id % 50 = 0), x as (select query_id, vec_id, sqrt(list_sum(list_transform(list_zip(embedding, e), lambda p: (p[1]::double - p[2]::double) ** 2))) as distance from q, embeddings where vec_id <> query_id)"
 
+_DEF = "with a as (select distinct id, ts, lower(target_table) as key, statement_type, sql_hash from audit_log where target_table is not null), l as (select key, sql_hash as definition, case when statement_type = 'DROP' then 'dropped' else 'current' end as state from a qualify row_number() over (partition by key order by ts desc, id desc) = 1)"
+
 SQL = {
+    "r_packages": _S + ", m as (select name, arg_min(symbol_id, {'r': repo_id, 's': symbol_id}) as symbol_id from sym where kind = 'module' group by 1) select edge_id, m.symbol_id from edges join m on to_id in ('npm:' || m.name, 'nuget:' || m.name)",
+    "r_publish_consume": "select distinct a.to_id as contract, a.from_id as producer, b.from_id as consumer from edges a join edges b on a.to_id = b.to_id where a.to_id = 'npm:react' and b.type = 'DEPENDS_ON' and b.to_id <> 'npm:react'",
+    "x_python_mro": "with recursive one as (select repo_id, from_id as class_id, arg_min(to_id, edge_id) as base_id from edges where type = 'EXTENDS' group by 1, 2), w as (select repo_id, class_id, base_id, 1 as level from one union all select w.repo_id, w.class_id, o.base_id, w.level + 1 from w join one o on o.repo_id = w.repo_id and o.class_id = w.base_id where w.level < 4 and o.base_id <> w.class_id) select repo_id, class_id, base_id, min(level) as level from w group by 1, 2, 3",
+    "win_current_definition": _DEF + " select key, definition, state from l",
+    "g_sql_drop_state": _DEF + " select state, count(*) as n from l group by 1",
+    "win_predecessor": "select environment, version, lag(version) over (partition by environment order by version) as before from (select distinct environment, version from ddl_history where version is not null)",
     "r_best_candidate": _best("callee", CALLABLE) + " select a.edge_id, b.symbol_id, b.how from asks a join best b on b.repo_id = a.repo_id and b.source_file = a.source_file and b.name = a.name",
     "r_calls": _resolved("callee", CALLABLE),
     "r_types": _resolved("type", TYPES),
