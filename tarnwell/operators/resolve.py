@@ -92,15 +92,15 @@ def bind_mentions(found: DataFrame, symbols: DataFrame) -> DataFrame:
 def drift(names: DataFrame, symbols: DataFrame, least: float = 0.75) -> DataFrame:
     """(repo_id, mention, name, score): unbound names that look like a misspelt symbol of the same repository.
 
-    Blocked by the first character instead of comparing all pairs. Names that are one identifier under another
+    Blocked by the first character and by the lengths that can reach least, as an edit distance is at least the
+    difference in length; no two names of other blocks are compared. Names that are one identifier under another
     convention or number are no drift. The best symbol by score, ties by name.
     """
     block = lambda c: F.lower(F.substring(c, 1, 1))
-    n = names.where(F.length("mention") >= 4).select("repo_id", "mention", block(F.col("mention")).alias("b"), F.length("mention").alias("len")).distinct()
-    s = symbols.where("kind <> 'module'").select("repo_id", "name", block(F.col("name")).alias("b")).distinct()
-    # an edit distance is at least the difference in length, so unequal lengths can be dropped before it
-    near = (F.abs(F.length("name") - F.col("len")) <= (1 - least) * F.greatest(F.length("name"), F.col("len")))
-    x = n.join(s, ["repo_id", "b"]).where(near & (convention_key(F.col("mention")) != convention_key(F.col("name"))) & (convention_stem(F.col("mention")) != convention_stem(F.col("name"))))
+    reach = F.sequence(F.ceil(F.length("mention") * least).cast("int"), F.floor(F.length("mention") / least).cast("int"))
+    n = names.where(F.length("mention") >= 4).select("repo_id", "mention", block(F.col("mention")).alias("b"), F.explode(reach).alias("len")).distinct()
+    s = symbols.where("kind <> 'module'").select("repo_id", "name", block(F.col("name")).alias("b"), F.length("name").alias("len")).distinct()
+    x = n.join(s, ["repo_id", "b", "len"]).where((convention_key(F.col("mention")) != convention_key(F.col("name"))) & (convention_stem(F.col("mention")) != convention_stem(F.col("name"))))
     x = x.withColumn("score", F.round(similarity(F.col("mention"), F.col("name")), 6)).where(F.col("score") >= least)
     best = x.groupBy("repo_id", "mention").agg(F.min(F.struct((-F.col("score")).alias("s"), "name")).alias("m"))
     return best.select("repo_id", "mention", "m.name", (-F.col("m.s")).alias("score"))
