@@ -25,9 +25,9 @@ def bm25(docs: DataFrame, query: list[str], prefix: bool = False) -> DataFrame:
     Lengths and term counts are taken in one pass over all documents; only counts of the query's terms are kept.
     """
     q = list(dict.fromkeys(t.lower() for t in query))
-    words = terms(F.col("text"))
+    words = F.col("words")
     hits = lambda t: F.size(F.filter(words, lambda w: w.startswith(t) if prefix else w == F.lit(t)))
-    counted = docs.where("text is not null").select("doc_id", F.size(words).alias("len"), *[hits(t).alias(f"t{i}") for i, t in enumerate(q)])
+    counted = docs.where("text is not null").select("doc_id", terms(F.col("text")).alias("words")).select("doc_id", F.size(words).alias("len"), *[hits(t).alias(f"t{i}") for i, t in enumerate(q)])
     stats = counted.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg"), *[F.count_if(F.col(f"t{i}") > 0).alias(f"d{i}") for i in range(len(q))])
     hits_any = counted.where(" or ".join(f"t{i} > 0" for i in range(len(q))))
     x = hits_any.withColumn("one", F.lit(1)).join(F.broadcast(stats.withColumn("one", F.lit(1))), "one")  # stats is one row
