@@ -63,11 +63,60 @@ _LIBRARY_HEAD = re.compile(
 _OWN_HEAD = re.compile(r"\binternal use only\b|\bthe [\w-]+ team\b", re.I)
 _COMMENTS = re.compile(r"\A﻿?(?:\s+|#![^\n]*|//[^\n]*|#(?![\w-]+\s*\{)[^\n]*|--[^\n]*|/\*[\s\S]*?\*/|<!--[\s\S]*?-->)+")
 _MARKS = re.compile(r"^[\s*/#!<-]+|[\s*/>-]+$", re.M)
+#: Of _GENERATED_HEAD what is no common wording of a comment on single values, and so counts between declarations, too.
+_GENERATED_AMID = re.compile(
+    r"""^\W*(?:auto-?generated\b|@generated\b|code\ generated\ by\b|this\ (?:file|code|class|module)\ (?:is|was|has\ been)\ (?:auto\S*\ )?(?:written|generated|produced|created|emitted)\ by\b
+    |generated\ (?:on|at)\ \d{4}|do\ not\ (?:edit|modify|change)\b.{0,40}\bby\ hand\b|do\ not\ (?:edit|modify|change):\ output\ of\b|changes\ will\ be\ (?:lost|overwritten)\b)
+    |\bsinh\ tự\ động\b|\bautomatisch\ (?:erzeugt|generiert)\b|\bgénéré\ automatiquement\b""",
+    re.X | re.I,
+)
+# Comments that begin a line, as group 1, by language; strings are matched first, as they may hold the marks that a generator writes.
+_QUOTED = r"\"(?:\\.|[^\"\\\n])*\"?|'(?:\\.|[^'\\\n])*'?"
+_BLOCK, _SLASHES = r"^[ \t]*(/\*[\s\S]*?(?:\*/|\Z))|/\*[\s\S]*?(?:\*/|\Z)", r"^[ \t]*(//[^\n]*)|//[^\n]*"
+_TAG = r"^[ \t]*(<!--[\s\S]*?(?:-->|\Z))|<!--[\s\S]*?(?:-->|\Z)"
+_HASH, _DASHES = r"^[ \t]*(#[^\n]*)|#[^\n]*", r"^[ \t]*(--[^\n]*)|--[^\n]*"
+_LATER = {
+    k: re.compile("|".join(x), re.M)
+    for k, x in {
+        "ecma": (_SLASHES, _BLOCK, r"`(?:\\.|[^`\\])*`?", _QUOTED),
+        "csharp": (_SLASHES, _BLOCK, r"\"{3,}[\s\S]*?(?:\"{3,}|\Z)|(?:@\$?|\$@)\"(?:\"\"|[^\"])*\"?", _QUOTED),
+        "css": (_BLOCK, _QUOTED),
+        "proto": (_SLASHES, _BLOCK, _QUOTED),
+        "python": (_HASH, r"\"{3}(?:\\[\s\S]|[^\\])*?(?:\"{3}|\Z)|'{3}(?:\\[\s\S]|[^\\])*?(?:'{3}|\Z)", _QUOTED),
+        "sql": (_DASHES, _BLOCK, r"'(?:''|[^'])*'?|\"[^\"]*\"?"),
+        "markdown": (r"^[ \t]*(?:```[\s\S]*?(?:^[ \t]*```|\Z)|~~~[\s\S]*?(?:^[ \t]*~~~|\Z))", r"`[^`\n]*`", _TAG),
+        "html": (_TAG, _SLASHES, _BLOCK, r"`(?:\\.|[^`\\])*`?"),
+        "other": (_SLASHES, _BLOCK, r"^[ \t]*(#[^\n]*)|(?<=\s)#[^\n]*", r"^[ \t]*(--[^\n]*)|(?<=\s)--\s[^\n]*", _TAG, _QUOTED),
+    }.items()
+}
+_FAMILY = {"typescript": "ecma", "javascript": "ecma", "vue": "html", "text": "other", "json": None}
+_FAMILY_OF_NAME = {"ts": "ecma", "tsx": "ecma", "mts": "ecma", "js": "ecma", "jsx": "ecma", "mjs": "ecma", "cs": "csharp", "py": "python", "pyi": "python", "css": "css", "proto": "proto", "sql": "sql", "md": "markdown", "html": "html", "vue": "html", "json": None}
 _NUMBER = re.compile(r"(?<![\w.])-?(?:0x[0-9a-f]+|\d+(?:\.\d+)?)(?:[uUlLfFdDmM]{0,2})(?![\w.])", re.I)
 _ENCODED = re.compile(r"[A-Za-z0-9+/=_-]{60,}|(?:\\x[0-9a-f]{2}){16,}|(?:[0-9a-f]{2}[\s:]?){40,}", re.I)
 _NUMBERED = re.compile(r"[A-Za-z_]\w*?(\d+)_?(?!\w)")
 
 
+def later_comments(name: str, language: str | None, text: str, at: int) -> tuple[list[str], list[str]]:
+    """The lines of the comments that begin a line from at on: those between code, and those after the last code."""
+    family = _FAMILY.get(language, language) if language else _FAMILY_OF_NAME.get(name.rsplit(".", 1)[-1].lower(), "other")
+    if family is None:
+        return [], []
+    amid, foot, end = [], [], at
+    for m in _LATER.get(family, _LATER["other"]).finditer(text, at):
+        if m.lastindex:
+            if text[end : m.start()].strip():
+                amid += foot
+                foot = []
+            foot += _MARKS.sub("", m[m.lastindex]).splitlines()
+            end = m.end()
+    return (amid + foot, []) if text[end:].strip() else (amid, foot)
+
+
+def is_mark(line: str, form: re.Pattern) -> bool:
+    """Whether a line of a comment is a tool's mark and doesn't just talk of one."""
+    return bool(form.search(line)) and not _TALKS_OF.search(re.sub(r"[\"“'`][^\"”'`]{0,60}[\"”'`]", "", line))
+
+
 def evidence(path: str, language: str | None, text: str) -> list[float]:
     """Log-likelihoods of LABELS from the name and the text of one file, against hand-written."""
     e = [0.0] * 5
@@ -82,12 +131,12 @@ def evidence(path: str, language: str | None, text: str) -> list[float]:
     comments = _MARKS.sub("", head[0]) if head else ""
     body = text[head.end() :] if head else text
     lines = [x for x in re.split(r"[\n;]" if language == "sql" else r"\n", comments) if x.strip()]
-    marks = [x for x in lines[:14] if _GENERATED_HEAD.search(x)]
-    if any(not _TALKS_OF.search(re.sub(r"[\"“'`][^\"”'`]{0,60}[\"”'`]", "", x)) for x in marks):
+    amid, foot = later_comments(name, language, text, head.end() if head else 0)
+    if any(is_mark(x, _GENERATED_HEAD) for x in [*lines, *foot]) or any(is_mark(x, _GENERATED_AMID) for x in amid):
         e[1] += 7.0
     elif lines and _TALKS_OF.search(" ".join(lines[:4])):
         e[0] += 2.0
-    top = "\n".join(lines[:14])
+    top = "\n".join(lines)
     if _LIBRARY_HEAD.search(top) and not _OWN_HEAD.search(top):
         e[3] += 6.0
     elif _OWN_HEAD.search(top):
@@ -168,7 +217,7 @@ def labels(contents: DataFrame, files: DataFrame) -> DataFrame:
     """(repo_id, path, label, confidence): the likeliest of LABELS for each file, and its probability.
 
     Method: belief propagation over the directory tree of each repository. Files give evidence (names, marks of
-    tools and libraries in the leading comments, line lengths, share of data, numbered members, and the number
+    tools in comments anywhere and of libraries in the leading ones, line lengths, share of data, numbered members, and the number
     of files with the same body); directories give that of their names. Messages go up the tree level by level,
     summed within each split first, and down again; on a tree this is exact. A file so gets what its siblings and
     the directories above say, by FILE_GIVEN_DIR and DIR_GIVEN_DIR.

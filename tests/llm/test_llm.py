@@ -156,6 +156,20 @@ def test_labels(spark):
     assert handwritten.foreign_files(contents.limit(0), files.limit(0)).count() == 0
 
 
+def test_marks_count_anywhere():
+    hand = "import x from './y.js';\n\nexport function walk(a) {\n  return a.map((b) => b + 1);\n}\n"
+    marked = lambda name, language, text: handwritten.evidence(name, language, text)[1] >= 7
+    licence = "".join(f"// Clause {i} of the terms of use.\n" for i in range(20))
+    assert marked("a.js", "javascript", hand + "\n// @generated by walkgen\n") and marked("a.cs", None, "class A {}\n\n// <auto-generated>\n// Changes will be lost.\n// </auto-generated>\n")
+    assert marked("a.js", "javascript", licence + "// Code generated by xgen v1.2. DO NOT EDIT.\n" + hand) and marked("a.js", "javascript", hand + "\n/*\n * @generated by walkgen\n */\n" + hand)
+    assert marked("a.sql", "sql", "select 1;\n\n-- Do not change: output of walkgen v1.2 for a.xsd\n") and marked("a.py", "python", "x = '#'\n\n# Generated on 2026-01-02 from a.proto\n")
+    for name, language, text in (
+        ("a.js", "javascript", "const head = `\n// @generated by walkgen\n`;\n" + hand), ("a.py", "python", 'HEAD = """\n# @generated by walkgen\n"""\nprint(HEAD)\n'), ("a.cs", "csharp", 'var a = @"\n// <auto-generated>\n";\n'), ("a.md", "markdown", "Text\n\n```\n<!-- @generated -->\n```\n"),
+        ("a.js", "javascript", hand + '\n// Writes the header "DO NOT EDIT" into each file it emits.\n'), ("a.js", "javascript", hand + "\n// the output of walk, with ids generated by the server\n" + hand), ("a.json", "json", '{"a": "// @generated by x"}'),
+    ):
+        assert not marked(name, language, text), text
+
+
 # --- problem 7
 
 def test_winnowing_keeps_its_guarantee():
