@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -14,8 +13,10 @@ from ..operators.skew import salted_join
 from ..session import Scratch
 from .syntax import tasks
 
-#: A slot that holds the same text in so many different records is no slot but part of the template.
-SAME_IN = 3
+#: A text in place of a mark that is longer than this is no value of the slot.
+VALUE_CHARS = 60
+#: Words of a template's longest piece by which other sentences are aligned with it.
+ALIGNED_BY = 4
 #: A line of candidate pages is page boilerplate if so many of them have it and this share of all short records with it are such pages.
 PAGES, PURE = 3, 0.8
 #: Records of more words than this are no bare error page, but for their stack traces.
@@ -48,6 +49,14 @@ PLACEHOLDERS = re.compile(
     re.X | re.I,
 )
 
+# How people write about placeholders, in place of leaving one.
+TALKS = re.compile(
+    r"""\b(?:(?:of|in)\ the\ form|(?:is|are|gets?|be)\ (?:replaced|substituted|expanded|interpolated)|stands?\ for|expands?\ to|placeholders?|template\ (?:variables?|syntax|marks?)
+    |(?:in|von)\ der\ form|(?:wird|werden)\ (?:ersetzt|eingesetzt)|steht\ für|platzhalter|de\ la\ forme|(?:est|sont)\ remplacée?s?|tient\ lieu\ de
+    |có\ dạng|theo\ dạng|(?:được|sẽ)\ thay)\b""",
+    re.X | re.I,
+)
+
 # The usual dummy Latin, keyboard runs and instructions left by page builders.
 LATIN = frozenset(
     "lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua enim minim veniam quis nostrud exercitation ullamco laboris nisi aliquip ex ea commodo consequat duis aute irure in reprehenderit voluptate velit esse cillum eu fugiat nulla pariatur excepteur sint occaecat cupidatat non proident sunt culpa qui officia deserunt mollit anim id est laborum "
@@ -117,7 +126,7 @@ _FENCE = re.compile(r"^[ \t]*(```|~~~).*?(?:^[ \t]*\1[ \t]*$|\Z)", re.M | re.S)
 _CODE = re.compile(r"`[^`\n]+`")
 _LEAD = re.compile(r"^(?:\s|[*+\-•>#|]|\d+[.)]\s|\[[ xX]\]\s|//|\d\d:\d\d\s)+")
 _SENTENCE = re.compile(r"(?<=[.!?])\s+(?=[^\W\d_]|[\[{<$%@(&_#])|\s[–—]\s")
-_MASK = re.compile(r"[\w.-]*/[\w./-]+|\b[A-Z]{2,}-\d+\b|\b[0-9a-f]{8,}\b|\b\w*\d[\w.:]*\b|\b[a-z]+(?:_[a-z]+)+\b|\b[a-z]+(?:[A-Z][a-z]+)+\b|\b(?:[A-Z][a-z]+){2,}\b|\b[a-z]+-[a-z]+\b")
+_MASK = re.compile(r"(?<![\w.-])[\w.-]*/[\w./-]+|\b[A-Z]{2,}-\d+\b|\b[0-9a-f]{8,}\b|\b\w*\d[\w.:]*\b|\b[a-z]+(?:_[a-z]+)+\b|\b[a-z]+(?:[A-Z][a-z]+)+\b|\b(?:[A-Z][a-z]+){2,}\b|\b[a-z]+-[a-z]+\b")
 
 
 def units(text: str) -> list[str]:
@@ -142,7 +151,26 @@ def slots(unit: str) -> tuple[str, list[str]]:
         return "\x02"
 
     shape = PLACEHOLDERS.sub(take, unit)
-    return (re.sub(r"\s+", " ", _MASK.sub("\x03", shape)).casefold(), fills) if fills else ("", [])
+    return (_masked(shape), fills) if fills else ("", [])
+
+
+def _masked(shape: str) -> str:
+    return re.sub(r"\s+", " ", _MASK.sub("\x03", shape)).casefold()
+
+
+def aligned(template: str) -> tuple[str, list[str]]:
+    """The words by which sentences meet a template, and for each slot the form of those that hold a value in it."""
+    pieces = template.split("\x02")
+    words = [re.findall(r"\w+", re.sub(r"^\w+" * (k > 0) + "|" * (0 < k < len(pieces) - 1) + r"\w+$" * (k < len(pieces) - 1), "", x)) for k, x in enumerate(pieces)]
+    key = " ".join(max(words, key=len)[:ALIGNED_BY])
+    literal = [re.sub(r"([^\w\s\x03])", r"\\\1", x) for x in pieces]
+    value = lambda k, slot: "" if k == 0 else f"[^\x02]{{1,{VALUE_CHARS}}}" if k - 1 == slot else f".{{1,{VALUE_CHARS}}}"
+    return key, ["(?s)^" + "".join(value(k, slot) + x for k, x in enumerate(literal)) + "$" for slot in range(len(pieces) - 1)]
+
+
+def word_runs(shape: str) -> list[str]:
+    ws = re.findall(r"\w+", shape)
+    return sorted({" ".join(ws[i : i + n]) for n in range(1, ALIGNED_BY + 1) for i in range(len(ws) - n + 1)})
 
 
 def has_filler(unit: str) -> bool:
@@ -174,32 +202,36 @@ def page_units(text: str, all_units: list[str]) -> tuple[list[str], bool]:
 
 def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
-        found, filler, rest, error = [], [], [], []
+        found, talk, filler, rest, error = [], [], [], [], []
         for text in b["text"]:
             us = units(text)
-            f = []
+            f, said = [], set()
             for u in us:
                 template, fills = slots(u)
-                h = zlib.crc32(u.encode("utf-8", "surrogatepass"))
-                f += [{"template": template, "slot": i, "fill": x, "record": h} for i, x in enumerate(fills)]
+                talks = TALKS.search(template if fills else u) is not None
+                key, forms = aligned(template) if fills and talks else ("", [])
+                f += [{"template": template, "slot": i, "fill": x, "key": key if talks else None, "form": forms[i] if talks else None} for i, x in enumerate(fills)]
+                if talks:
+                    said.add(template or _masked(u))
             found.append(f)
+            talk.append(sorted(said))
             filler.append(any(map(has_filler, us)))
             r, e = page_units(text, us)
             rest.append(r)
             error.append(e)
-        yield pd.DataFrame({"doc_id": b["doc_id"], "found": found, "filler": filler, "rest": rest, "error": error})
+        yield pd.DataFrame({"doc_id": b["doc_id"], "found": found, "talk": talk, "filler": filler, "rest": rest, "error": error})
 
 
-_SCAN = "doc_id bigint, found array<struct<template: string, slot: int, fill: string, record: bigint>>, filler boolean, rest array<string>, error boolean"
+_SCAN = "doc_id bigint, found array<struct<template: string, slot: int, fill: string, key: string, form: string>>, talk array<string>, filler boolean, rest array<string>, error boolean"
 
 
 def residue(documents: DataFrame) -> DataFrame:
     """(doc_id, unfilled, filler, error_page): each document with at least one of the three.
 
     Method: the sentences outside code are cut into a template and the texts in its marked slots. Records of the
-    same template are aligned over the whole corpus; a slot that holds one and the same text in SAME_IN different
-    records is a constant of the template, which talks about placeholders; any other slot that still holds a
-    variable's name, a default or a blank is unfilled. Filler is dummy Latin, keyboard runs and instructions of
+    same template, filled ones included, are aligned over the whole corpus; a slot in which no record has another
+    text is a constant if the wording talks about placeholders (TALKS), however many records there are; any other
+    slot that still holds a variable's name, a default or a blank is unfilled. Filler is dummy Latin, keyboard runs and instructions of
     page builders. An error page consists of nothing but errors, notices and page frames; lines beside them count
     as frame if PAGES such pages repeat them and hardly any other short record has them.
 
@@ -207,11 +239,14 @@ def residue(documents: DataFrame) -> DataFrame:
     a repeated one once; texts are read whole.
     """
     docs = documents.where(F.col("doc_id").isNotNull() & (F.length("text") > 0)).select("doc_id", "text").repartition(tasks(documents))
-    scan = docs.mapInPandas(_scan, _SCAN).where((F.size("found") > 0) | F.col("filler") | (F.size("rest") == 0) | (F.element_at("rest", 1) != "\x00"))
+    scan = docs.mapInPandas(_scan, _SCAN).where((F.size("found") > 0) | (F.size("talk") > 0) | F.col("filler") | (F.size("rest") == 0) | (F.element_at("rest", 1) != "\x00"))
     scan = Scratch(documents.sparkSession, "residue").save(scan, "scan")
     slot = scan.select("doc_id", F.explode("found").alias("x")).select("doc_id", "x.*")
-    same = slot.groupBy("template", "slot").agg(F.min("fill").alias("a"), F.max("fill").alias("b"), F.countDistinct("record").alias("n"))
-    same = same.where((F.col("n") >= SAME_IN) & (F.col("a") == F.col("b"))).select("template", "slot")
+    same = slot.where("key is not null").groupBy("template", "slot").agg(F.min("fill").alias("a"), F.max("fill").alias("b"), F.min("key").alias("key"), F.min("form").alias("form"))
+    same = same.where("a = b").select("template", "slot", "key", "form")
+    said = scan.select(F.explode("talk").alias("shape")).distinct().select("shape", F.explode(F.udf(lambda x: word_runs(x), "array<string>")("shape")).alias("key"))
+    filled = said.join(same, "key").where(F.rlike("shape", F.col("form"))).select("template", "slot").distinct()
+    same = same.join(filled, ["template", "slot"], "left_anti").select("template", "slot")
     unfilled = salted_join(slot, same, ["template", "slot"], "left_anti").select("doc_id", F.lit("unfilled").alias("kind"))
     filler = scan.where("filler").select("doc_id", F.lit("filler").alias("kind"))
     short = scan.where((F.size("rest") == 0) | (F.element_at("rest", 1) != "\x00"))

@@ -243,3 +243,11 @@ def test_residue(spark):
     d = spark.createDataFrame([(*r, "en") for r in bad + fine + bad[:2]], "doc_id bigint, text string, kind string")
     assert {r.doc_id for r in residue.residue(d).collect()} == {i for i, _ in bad}
     assert residue.residue(d.limit(0)).count() == 0
+
+
+def test_residue_of_one_template_in_many_records(spark):
+    d = [(i, f"Dear {{{{ owner }}}}, the run for build-{450 + i} has finished.") for i in range(6)]
+    d += [(20 + i, f"Names of the form <your-name> in src/a{i}.ts are documented in GX-{i}.") for i in range(4)] + [(30, "Slots of the form ${owner} in src/b.ts are reserved.")]
+    d += [(40 + i, f"The name [YOUR OWNER] stands for the team, see GX-{i}.") for i in range(4)] + [(50, "The name Mai Tran stands for the team, see GX-9.")]
+    got = {r.doc_id for r in residue.residue(spark.createDataFrame(d, "doc_id bigint, text string")).collect()}
+    assert got == {*range(6), *range(40, 44)}
