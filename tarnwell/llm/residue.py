@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 
@@ -17,10 +18,8 @@ from .syntax import tasks
 VALUE_CHARS = 60
 #: Words of a template's longest piece by which other sentences are aligned with it.
 ALIGNED_BY = 4
-#: A line of candidate pages is page boilerplate if so many of them have it and this share of all short records with it are such pages.
+#: A line of candidate pages is page boilerplate if so many of them have it and this share of all records with it are such pages.
 PAGES, PURE = 3, 0.8
-#: Records of more words than this are no bare error page, but for their stack traces.
-PAGE_WORDS = 90
 
 # The forms in which template engines and people mark a value that is still missing.
 _NAME = r"[A-Za-z][\w.\- ]{0,38}"
@@ -181,11 +180,8 @@ def has_filler(unit: str) -> bool:
 
 
 def page_units(text: str, all_units: list[str]) -> tuple[list[str], bool]:
-    """Of a short record the templates of units that are neither errors nor page frames, and whether one is an error."""
-    if "\x00" in _FENCE.sub("\x00", text) or len(text) > 40_000:
-        return ["\x00"], False
-    lines = [_LEAD.sub("", x).strip() for x in text.splitlines()]
-    if sum(len(x.split()) for x in lines if not FRAME.match(x)) > PAGE_WORDS:
+    """The templates of units that are neither errors nor page frames, and whether one is an error; a text with fenced code is no page."""
+    if "\x00" in _FENCE.sub("\x00", text):
         return ["\x00"], False
     heading = re.match(r"\s*#\s+(\S+)\s*$", text.lstrip("\ufeff\n ").split("\n", 1)[0])
     rest, seen = [], False
@@ -196,10 +192,15 @@ def page_units(text: str, all_units: list[str]) -> tuple[list[str], bool]:
         if ERROR.match(u):
             seen = True
         elif not FRAME.match(u):
-            rest.append(re.sub(r"\s+", " ", _MASK.sub("\x03", u)).casefold())
+            rest.append(_masked(u))
     return rest, seen
 
 
+def _hash(line: str) -> int:
+    """Not 0, which stands for a text that is no page."""
+    return int.from_bytes(hashlib.blake2b(line.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True) or 1
+
+
 def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         found, talk, filler, rest, error = [], [], [], [], []
@@ -217,12 +218,12 @@ def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             talk.append(sorted(said))
             filler.append(any(map(has_filler, us)))
             r, e = page_units(text, us)
-            rest.append(r)
+            rest.append([0] if r == ["\x00"] else sorted({_hash(x) for x in r}))
             error.append(e)
         yield pd.DataFrame({"doc_id": b["doc_id"], "found": found, "talk": talk, "filler": filler, "rest": rest, "error": error})
 
 
-_SCAN = "doc_id bigint, found array<struct<template: string, slot: int, fill: string, key: string, form: string>>, talk array<string>, filler boolean, rest array<string>, error boolean"
+_SCAN = "doc_id bigint, found array<struct<template: string, slot: int, fill: string, key: string, form: string>>, talk array<string>, filler boolean, rest array<bigint>, error boolean"
 
 
 def residue(documents: DataFrame) -> DataFrame:
@@ -233,13 +234,13 @@ def residue(documents: DataFrame) -> DataFrame:
     text is a constant if the wording talks about placeholders (TALKS), however many records there are; any other
     slot that still holds a variable's name, a default or a blank is unfilled. Filler is dummy Latin, keyboard runs and instructions of
     page builders. An error page consists of nothing but errors, notices and page frames; lines beside them count
-    as frame if PAGES such pages repeat them and hardly any other short record has them.
+    as frame if PAGES such pages repeat them and hardly any other record has them, however long the page is.
 
     Defined cases: NULL and empty texts, and NULL ids, give no row; each row of documents counts by its doc_id,
     a repeated one once; texts are read whole.
     """
     docs = documents.where(F.col("doc_id").isNotNull() & (F.length("text") > 0)).select("doc_id", "text").repartition(tasks(documents))
-    scan = docs.mapInPandas(_scan, _SCAN).where((F.size("found") > 0) | (F.size("talk") > 0) | F.col("filler") | (F.size("rest") == 0) | (F.element_at("rest", 1) != "\x00"))
+    scan = docs.mapInPandas(_scan, _SCAN).where((F.size("found") > 0) | (F.size("talk") > 0) | F.col("filler") | (F.size("rest") == 0) | (F.element_at("rest", 1) != 0))
     scan = Scratch(documents.sparkSession, "residue").save(scan, "scan")
     slot = scan.select("doc_id", F.explode("found").alias("x")).select("doc_id", "x.*")
     same = slot.where("key is not null").groupBy("template", "slot").agg(F.min("fill").alias("a"), F.max("fill").alias("b"), F.min("key").alias("key"), F.min("form").alias("form"))
@@ -249,11 +250,11 @@ def residue(documents: DataFrame) -> DataFrame:
     same = same.join(filled, ["template", "slot"], "left_anti").select("template", "slot")
     unfilled = salted_join(slot, same, ["template", "slot"], "left_anti").select("doc_id", F.lit("unfilled").alias("kind"))
     filler = scan.where("filler").select("doc_id", F.lit("filler").alias("kind"))
-    short = scan.where((F.size("rest") == 0) | (F.element_at("rest", 1) != "\x00"))
-    lines = short.where(F.size("rest") > 0).select("error", F.explode(F.array_distinct("rest")).alias("line")).groupBy("line").agg(F.count_if("error").alias("pages"), F.count(F.lit(1)).alias("n"))
+    plain = scan.where((F.size("rest") == 0) | (F.element_at("rest", 1) != 0))
+    lines = plain.where(F.size("rest") > 0).select("error", F.explode("rest").alias("line")).groupBy("line").agg(F.count_if("error").alias("pages"), F.count(F.lit(1)).alias("n"))
     boilerplate = lines.where((F.col("pages") >= PAGES) & (F.col("pages") >= PURE * F.col("n"))).select("line")
-    bare = short.where("error and size(rest) = 0").select("doc_id", F.lit("error_page").alias("kind"))
-    more = short.where("error and size(rest) > 0").select("doc_id", F.explode(F.array_distinct("rest")).alias("line"))
+    bare = plain.where("error and size(rest) = 0").select("doc_id", F.lit("error_page").alias("kind"))
+    more = plain.where("error and size(rest) > 0").select("doc_id", F.explode("rest").alias("line"))
     known = salted_join(more, boilerplate.withColumn("known", F.lit(1)), ["line"], "left").groupBy("doc_id").agg(F.min(F.coalesce("known", F.lit(0))).alias("all_known"))
     framed = known.where("all_known = 1").select("doc_id", F.lit("error_page").alias("kind"))
     flag = lambda k: F.max(F.col("kind") == k).alias(k)

@@ -251,3 +251,12 @@ def test_residue_of_one_template_in_many_records(spark):
     d += [(40 + i, f"The name [YOUR OWNER] stands for the team, see GX-{i}.") for i in range(4)] + [(50, "The name Mai Tran stands for the team, see GX-9.")]
     got = {r.doc_id for r in residue.residue(spark.createDataFrame(d, "doc_id bigint, text string")).collect()}
     assert got == {*range(6), *range(40, 44)}
+
+
+def test_error_pages_of_any_length(spark):
+    trace = "500 Internal Server Error\n" + "".join(f"at walk.step{i} (src/walk.js:{i})\n" for i in range(1500))
+    notice = "\n".join(["Access denied"] + [f"Permission denied for the folder number {i} of this project and for all that is in it." for i in range(12)])
+    own = "\n".join(f"The gateway {x} keeps a note of each such call for later review by those who run it and by no others." for x in ("north", "south", "east", "west", "upper"))
+    assert len(trace) > 40_000 and len(notice.split()) > 90 and len(own.split()) > 90
+    d = [(1, trace), (2, notice), *((10 + i, f"503 Service Unavailable\n{own}") for i in range(3)), (20, trace + "\nWe raised the pool to 40 and the errors stopped."), (21, "x/" * 30_000), (22, "y" * 60_000)]
+    assert {r.doc_id for r in residue.residue(spark.createDataFrame(d, "doc_id bigint, text string")).collect()} == {1, 2, 10, 11, 12}
