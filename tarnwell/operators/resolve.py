@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections import Counter, deque
+from collections.abc import Iterator
+from itertools import islice
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -148,15 +153,78 @@ def publish_consume(edges: DataFrame) -> DataFrame:
     return side("PUBLISHES", "producer").join(side("CONSUMES", "consumer"), "contract").where("producer <> consumer")
 
 
-def base_chain(edges: DataFrame, depth: int = 8) -> DataFrame:
-    """(repo_id, class_id, base_id, level): the bases of each class, nearest first, along its first base."""
-    one = edges.where(F.col("type") == "EXTENDS").groupBy("repo_id", F.col("from_id").alias("class_id")).agg(F.min(F.struct("edge_id", "to_id")).alias("x")).select("repo_id", "class_id", F.col("x.to_id").alias("base_id"))
-    up = one.select("repo_id", F.col("class_id").alias("base_id"), F.col("base_id").alias("next"))
-    level, found = one.withColumn("level", F.lit(1)), one.withColumn("level", F.lit(1))
-    for k in range(2, depth + 1):
-        level = level.join(up, ["repo_id", "base_id"]).where("next <> class_id").select("repo_id", "class_id", F.col("next").alias("base_id"), F.lit(k).alias("level"))
-        found = found.unionByName(level)
-    return found.groupBy("repo_id", "class_id", "base_id").agg(F.min("level").alias("level"))
+def class_bases(edges: DataFrame) -> DataFrame:
+    """(repo_id, class_id, base_id, position): every base of each class once, in the order of its edges, from 1."""
+    one = edges.where(F.col("type") == "EXTENDS").groupBy("repo_id", F.col("from_id").alias("class_id"), F.col("to_id").alias("base_id")).agg(F.min("edge_id").alias("edge_id"))
+    return one.select("repo_id", "class_id", "base_id", F.row_number().over(Window.partitionBy("repo_id", "class_id").orderBy("edge_id", "base_id")).alias("position"))
+
+
+def merge_bases(bases: list[str], lines: list[list[str]]) -> list[str] | None:
+    """The C3 merge of the linearizations of bases, and of bases; None if there is none."""
+    seqs = [deque(x) for x in [*lines, bases] if x]
+    tails = Counter(y for s in seqs for y in islice(s, 1, None))
+    out = []
+    while seqs:
+        head = next((s[0] for s in seqs if not tails[s[0]]), None)
+        if head is None:
+            return None
+        out.append(head)
+        for s in seqs:
+            if s[0] == head:
+                s.popleft()
+                if s:
+                    tails[s[0]] -= 1
+        seqs = [s for s in seqs if s]
+    return out
+
+
+def linearize(bases: dict[str, list[str]]) -> Iterator[tuple[str, list[str]]]:
+    """Each class with all its ancestors by C3; breadth first where C3 fails or a cycle is reached."""
+    lines: dict[str, list[str] | None] = {}
+    for start in bases:
+        todo, open_ = [start], set()
+        while todo:
+            c = todo[-1]
+            if c in lines:
+                todo.pop()
+                continue
+            missing = [b for b in bases.get(c, []) if b not in lines]
+            if c not in open_ and missing and c not in missing:
+                open_.add(c)
+                todo += [b for b in reversed(missing) if b not in open_]
+                if todo[-1] != c:
+                    continue
+            todo.pop()
+            own = bases.get(c, [])
+            above = [lines.get(b) for b in own]
+            merged = None if any(x is None for x in above) or c in own else merge_bases(own, above)
+            lines[c] = None if merged is None else [c, *merged]
+        if (line := lines[start]) is None:
+            seen, queue = {start: None}, deque([start])
+            while queue:
+                for b in bases.get(queue.popleft(), []):
+                    if b not in seen:
+                        seen[b] = None
+                        queue.append(b)
+            line = list(seen)
+        yield start, line[1:]
+
+
+def base_chain(edges: DataFrame) -> DataFrame:
+    """(repo_id, class_id, base_id, level): all ancestors of each class in Python's method resolution order, from 1.
+
+    A repository's class hierarchy is linearized in one task.
+    """
+
+    def lines(b: pd.DataFrame) -> pd.DataFrame:
+        bases: dict[str, list[str]] = {}
+        for c, x in b.sort_values("position")[["class_id", "base_id"]].itertuples(index=False):
+            bases.setdefault(c, []).append(x)
+        out = [(c, x, k) for c, line in linearize(bases) for k, x in enumerate(line, 1)]
+        return pd.DataFrame(out, columns=["class_id", "base_id", "level"]).assign(repo_id=b["repo_id"].iloc[0])[["repo_id", "class_id", "base_id", "level"]]
+
+    one = class_bases(edges).where("repo_id is not null and class_id is not null and base_id is not null")
+    return one.groupBy("repo_id").applyInPandas(lines, "repo_id string, class_id string, base_id string, level int")
 
 
 def components(edges: DataFrame, symbols: DataFrame) -> DataFrame:

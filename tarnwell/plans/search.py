@@ -89,7 +89,7 @@ QUERIES = {
     "r_packages": lambda s, d: resolve.packages(base.edges(s, d), base.symbols(s, d)),
     "r_publish_consume": lambda s, d: resolve.publish_consume(base.edges(s, d).withColumn("type", F.when(F.col("to_id") == "npm:react", "PUBLISHES").when(F.col("type") == "DEPENDS_ON", F.lit("CONSUMES")).otherwise(F.col("type")))),
     "r_components": lambda s, d: resolve.components(base.edges(s, d).withColumn("to_id", F.when(F.col("type") == "EXTENDS", F.regexp_replace("to_id", "^base:", "component:")).otherwise(F.col("to_id"))), base.symbols(s, d)),
-    "x_python_mro": lambda s, d: resolve.base_chain(base.edges(s, d), 4),
+    "x_python_mro": lambda s, d: resolve.base_chain(base.edges(s, d)),
     "win_current_definition": lambda s, d: _definitions(s, d),
     "g_sql_drop_state": lambda s, d: _definitions(s, d).groupBy("state").agg(F.count(F.lit(1)).alias("n")),
     "win_predecessor": lambda s, d: table(s, d, "ddl_history").where("version is not null").select("environment", "version").distinct().withColumn("before", F.lag("version").over(Window.partitionBy("environment").orderBy("version"))),
@@ -104,7 +104,7 @@ QUERIES = {
     "r_citations": lambda s, d: search.search_lines(_docs(s, d), r"GX-\d+", "doc_id", "text").groupBy(F.col("first").alias("target")).agg(F.countDistinct("doc_id").alias("n_docs")),
     "x_imported_files": lambda s, d: resolve.imported_files(base.edges(s, d), base.symbols(s, d)),
     "x_py_protocol": _covering,
-    "x_class_bases": lambda s, d: base.edges(s, d).where("type = 'EXTENDS'").groupBy("repo_id", F.col("from_id").alias("class_id")).agg(F.min(F.struct("edge_id", "to_id")).alias("x")).select("repo_id", "class_id", F.col("x.to_id").alias("base_id")),
+    "x_class_bases": lambda s, d: resolve.class_bases(base.edges(s, d)),
     "x_suppress_bare": lambda s, d: (lambda e: e.where("reason = 'name_resolved'").join(e.where("reason = 'resolved call edge'").select("repo_id", "from_id").distinct(), ["repo_id", "from_id"], "left_semi").select("edge_id", F.lit(0.1).alias("confidence")))(base.edges(s, d).where("type = 'CALLS'")),
     "jn_cross_affinity": _affinity,
     "g_link_tests": lambda s, d: _affinity(s, d).groupBy("repo_id", "test").agg(F.min(F.struct((-F.col("score")).alias("s"), "source")).alias("b")).select("repo_id", "test", "b.source", (-F.col("b.s")).alias("score")),

@@ -1,5 +1,7 @@
 """Operators whose queries have no SQL, on small fixtures."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -96,3 +98,27 @@ def test_tables(spark, rows):
     assert rows(tabular.schema_diff(s1, s2).select("name", "change")) == [("t.a", "changed"), ("t.b", "removed")]
     assert tabular.snapshot_id(s1).first() == tabular.snapshot_id(s1.orderBy(F.desc("name"))).first()
     assert rows(df.limit(1).select(fn.json_normalize({"b": F.col("b"), "a": F.col("a")}).alias("j"))) == [('{"a":1,"b":"x"}',)]
+
+
+def test_bases_are_linearized_as_python_does(spark):
+    rnd = random.Random(3)
+    bases, made = {}, {"c0": type("c0", (), {})}
+    for i in range(1, 60):
+        own = [f"c{k}" for k in sorted(rnd.sample(range(i), min(i, rnd.choice([1, 1, 2, 3]))), reverse=True)]
+        try:
+            made[f"c{i}"] = type(f"c{i}", tuple(made[b] for b in own), {})
+        except (TypeError, KeyError):
+            continue
+        bases[f"c{i}"] = own
+    for i in range(1500):
+        bases[f"d{i}"] = [f"d{i + 1}"]
+    bases |= {"x": ["y", "z"], "y": ["x"], "w": ["x", "c1"], "s": ["s", "c0"], "p": ["c0", "q"], "q": ["c0"]}
+    rows = [(k, "r", c, b, "EXTENDS") for k, (c, b) in enumerate((c, b) for c, own in bases.items() for b in own)]
+    e = spark.createDataFrame(rows + [(9000 + r[0], *r[1:]) for r in rows[::-1]] + [(1, "r", "c1", "f", "CALLS")], "edge_id int, repo_id string, from_id string, to_id string, type string")
+    got = {}
+    for r in resolve.base_chain(e).orderBy("level").collect():
+        got.setdefault(r.class_id, []).append(r.base_id)
+    assert all(got[c] == [x.__name__ for x in t.__mro__[1:-1]] for c, t in made.items() if c in bases)
+    assert len(got["d0"]) == 1500
+    assert {c: got[c] for c in "xyws"} == {"x": ["y", "z"], "y": ["x", "z"], "w": ["x", "c1", "y", "z", "c0"], "s": ["c0"]} and got["p"] == ["c0", "q"]
+    assert {(r.class_id, r.base_id, r.position) for r in resolve.class_bases(e).collect()} == {(c, b, k) for c, own in bases.items() for k, b in enumerate(own, 1)}
