@@ -76,6 +76,12 @@ def _definitions(s, d):
     return resolve.sql_definitions(a.select(F.lower("target_table").alias("key"), F.struct("ts", "id").alias("seq"), action.alias("action"), F.col("sql_hash").alias("definition")))
 
 
+def _contracts(s, d):
+    """The dependencies on packages, every fourth edge as its publisher and the others as its consumers."""
+    role = F.when(F.pmod("edge_id", F.lit(4)) == 0, "PUBLISHES").otherwise("CONSUMES")
+    return base.edges(s, d).where("type = 'DEPENDS_ON'").withColumn("type", role)
+
+
 QUERIES = {
     "r_best_candidate": lambda s, d: resolve.best_candidate(base.edges(s, d), base.symbols(s, d), "callee", CALLABLE),
     "r_calls": _resolve("callee", CALLABLE),
@@ -87,7 +93,7 @@ QUERIES = {
     "r_css": lambda s, d: base.edges(s, d).where(F.col("to_id").startswith("cssclass:")).select("repo_id", "edge_id", F.regexp_replace("to_id", "^cssclass:", "").alias("name")).join(base.symbols(s, d).where("kind = 'css_class'").select("repo_id", "name", "symbol_id"), ["repo_id", "name"]).select("edge_id", "symbol_id"),
     "r_external_tag": lambda s, d: base.edges(s, d).where("type = 'IMPORTS'").where(F.substring_index(F.regexp_replace("to_id", "^import:", ""), ".", 1).isin(*EXTERNAL)).select("edge_id", F.lit(0.1).alias("confidence")),
     "r_packages": lambda s, d: resolve.packages(base.edges(s, d), base.symbols(s, d)),
-    "r_publish_consume": lambda s, d: resolve.publish_consume(base.edges(s, d).withColumn("type", F.when(F.col("to_id") == "npm:react", "PUBLISHES").when(F.col("type") == "DEPENDS_ON", F.lit("CONSUMES")).otherwise(F.col("type")))),
+    "r_publish_consume": lambda s, d: resolve.publish_consume(_contracts(s, d)),
     "r_components": lambda s, d: resolve.components(base.edges(s, d).withColumn("to_id", F.when(F.col("type") == "EXTENDS", F.regexp_replace("to_id", "^base:", "component:")).otherwise(F.col("to_id"))), base.symbols(s, d)),
     "x_python_mro": lambda s, d: resolve.base_chain(base.edges(s, d)),
     "win_current_definition": lambda s, d: _definitions(s, d),

@@ -1,12 +1,14 @@
 """Operators whose queries have no SQL, on small fixtures."""
 
 import random
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 from tarnwell.functions import scalar as fn
 from tarnwell.operators import resolve, search, tabular
+from tarnwell.plans import search as search_plans
 from tarnwell.sources import files as src
 from tarnwell.streaming import changes
 
@@ -122,3 +124,17 @@ def test_bases_are_linearized_as_python_does(spark):
     assert len(got["d0"]) == 1500
     assert {c: got[c] for c in "xyws"} == {"x": ["y", "z"], "y": ["x", "z"], "w": ["x", "c1", "y", "z", "c0"], "s": ["c0"]} and got["p"] == ["c0", "q"]
     assert {(r.class_id, r.base_id, r.position) for r in resolve.class_bases(e).collect()} == {(c, b, k) for c, own in bases.items() for k, b in enumerate(own, 1)}
+
+
+def test_publish_consume_is_brute_force(spark, rows):
+    raw = [("PUBLISHES", "c1", "a"), ("PUBLISHES", "c1", "b"), ("PUBLISHES", "c2", "a"), ("CONSUMES", "c1", "a"), ("CONSUMES", "c1", "d"), ("CONSUMES", "c1", "d"), ("CONSUMES", "c3", "d"), ("CALLS", "c2", "d")]
+    want = lambda es: sorted({(c, a, b) for t, c, a in es if t == "PUBLISHES" for u, k, b in es if u == "CONSUMES" and k == c and a != b})
+    assert rows(resolve.publish_consume(spark.createDataFrame(raw, "type string, to_id string, from_id string"))) == want(raw)
+
+
+@pytest.mark.skipif(not Path("/root/testdata/sf0.001").exists(), reason="no test tables")
+def test_publish_consume_query_has_both_sides(spark, rows):
+    d = "/root/testdata/sf0.001"
+    es = [("CONSUMES" if r.edge_id % 4 else "PUBLISHES", r.to_id, r.from_id) for r in spark.read.parquet(f"{d}/edges.parquet").where("type = 'DEPENDS_ON'").collect()]
+    want = sorted({(c, a, b) for t, c, a in es if t == "PUBLISHES" for u, k, b in es if u == "CONSUMES" and k == c and a != b})
+    assert want and rows(search_plans.QUERIES["r_publish_consume"](spark, d)) == want
