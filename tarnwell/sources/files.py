@@ -91,7 +91,8 @@ def _python_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                         if callee:
                             out.append((repo, path, "CALLS", f"callee:{callee}", owner, child.lineno, None))
                     elif isinstance(child, (ast.Import, ast.ImportFrom)):
-                        out += [(repo, path, "IMPORTS", f"import:{getattr(child, 'module', None) or a.name}", owner, child.lineno, None) for a in child.names[:1]]
+                        module = "." * child.level + (f"{child.module}." if child.module else "") if isinstance(child, ast.ImportFrom) else ""
+                        out += [(repo, path, "IMPORTS", f"import:{module}{a.name}", owner, child.lineno, None) for a in child.names]
                     todo.append((child, name))
         yield pd.DataFrame(out, columns=["repo_id", "path", "kind", "name", "owner", "line", "end_line"]).astype({"end_line": "Int32"})
 

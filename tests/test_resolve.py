@@ -138,3 +138,9 @@ def test_publish_consume_query_has_both_sides(spark, rows):
     es = [("CONSUMES" if r.edge_id % 4 else "PUBLISHES", r.to_id, r.from_id) for r in spark.read.parquet(f"{d}/edges.parquet").where("type = 'DEPENDS_ON'").collect()]
     want = sorted({(c, a, b) for t, c, a in es if t == "PUBLISHES" for u, k, b in es if u == "CONSUMES" and k == c and a != b})
     assert want and rows(search_plans.QUERIES["r_publish_consume"](spark, d)) == want
+
+
+def test_python_imports_keep_every_name(spark):
+    text = "import a, b.c as d\nfrom . import x, y\nfrom ..p.q import z as w\nfrom m import n, o\nfrom m import *\n"
+    got = src.extract_python(spark.createDataFrame([("r", "a.py", text)], "repo_id string, path string, content string")).where("kind = 'IMPORTS'")
+    assert sorted(r.name[7:] for r in got.collect()) == ["..p.q.z", ".x", ".y", "a", "b.c", "m.*", "m.n", "m.o"]
