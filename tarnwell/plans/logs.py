@@ -47,7 +47,7 @@ def _contexts(s, d, with_service=False):
 
 
 def _shaped(s, d):
-    df = table(s, d, "documents").select("doc_id", F.substring("text", 1, 40).alias("message"), F.when(F.pmod("doc_id", F.lit(2)) == 0, F.col("text")).alias("exception"))
+    df = table(s, d, "documents").select("doc_id", F.col("text").alias("message"), F.col("text").alias("exception"))
     return op.shape(df, 30, 60)
 
 

@@ -55,11 +55,18 @@ QUERIES = {
     "x_external_ledger": lambda s, d: _ledger(s, d).where("kind = 'adopted' and version is not null").select(F.regexp_extract("version", r"^(\d{4})", 1).alias("year"), "version", "checksum").distinct(),
     "x_recent_runs": lambda s, d: _ledger(s, d).orderBy(F.desc("applied_at"), F.desc("id")).limit(20).select("id", "status"),
     "x_last_work": lambda s, d: _ledger(s, d).where("statement_count > 0").groupBy("environment").agg(F.max(F.struct("applied_at", "id")).alias("x")).select("environment", "x.id"),
-    "sql_ms_fanout": lambda s, d: op.union_all([_ledger(s, d).where(F.col("environment") == e).groupBy("direction").agg(F.count(F.lit(1)).alias("n")).withColumn("_catalog", F.lit(e)) for e in ("dev", "qa", "prod")]),
+    "sql_ms_fanout": lambda s, d: _fanout(_ledger(s, d)),
     "agg_crossdb_targets": lambda s, d: _targets(s, d),
 }
 
 
+def _fanout(ledger):
+    """The runs of each environment of the ledger, as if each were a catalog of its own."""
+    names = sorted((r[0] for r in ledger.select("environment").distinct().collect()), key=lambda e: (e is None, e)) or [None]
+    part = lambda e: ledger.where(F.col("environment").eqNullSafe(F.lit(e).cast("string")))
+    return op.union_all([part(e).groupBy("direction").agg(F.count(F.lit(1)).alias("n")).withColumn("_catalog", F.lit(e).cast("string")) for e in names])
+
+
 def _audit_once(s, d):
     return table(s, d, "audit_log").distinct()
 

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 
 from tarnwell.functions import scalar as fn
 from tarnwell.operators import resolve, search, tabular
+from tarnwell.plans import logs as logs_plans
 from tarnwell.plans import search as search_plans
+from tarnwell.plans import tabular as tabular_plans
 from tarnwell.sources import files as src
 from tarnwell.streaming import changes
 
@@ -144,3 +146,15 @@ def test_python_imports_keep_every_name(spark):
     text = "import a, b.c as d\nfrom . import x, y\nfrom ..p.q import z as w\nfrom m import n, o\nfrom m import *\n"
     got = src.extract_python(spark.createDataFrame([("r", "a.py", text)], "repo_id string, path string, content string")).where("kind = 'IMPORTS'")
     assert sorted(r.name[7:] for r in got.collect()) == ["..p.q.z", ".x", ".y", "a", "b.c", "m.*", "m.n", "m.o"]
+
+
+def test_fanout_takes_every_environment(spark, rows):
+    e = spark.createDataFrame([("dev", "up"), ("dr", "up"), ("dr", "up"), ("staging", "down"), (None, "up")], "environment string, direction string")
+    assert sorted((r.direction, r.n, r._catalog or "") for r in tabular_plans._fanout(e).collect()) == [("down", 1, "staging"), ("up", 1, ""), ("up", 1, "dev"), ("up", 2, "dr")]
+    assert tabular_plans._fanout(e.limit(0)).count() == 0
+
+
+def test_shape_profile_takes_whole_texts(spark, tmp_path):
+    spark.createDataFrame([(1, "x" * 100), (2, "y" * 50), (3, None)], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.message, r.exception) for r in logs_plans.QUERIES["prj_shape_profile"](spark, str(tmp_path)).collect()}
+    assert got == {1: ("x" * 30 + "…[+70 chars]", "x" * 60 + "…[+40 chars]"), 2: (None, "y" * 50), 3: (None, None)}
