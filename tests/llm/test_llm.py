@@ -1,8 +1,10 @@
 """Training-data operators against brute force, exact parsers, planted cases and round trips."""
 
 import ast
+import base64
 import json
 import math
+import quopri
 import random
 import warnings
 from bisect import bisect_left, bisect_right
@@ -201,6 +203,45 @@ def test_leaks(spark):
     assert got == {(1, 0), (2, 1), (3, 2), (8, 4)}
 
 
+def test_leaks_of_short_encoded_and_repetitive_texts(spark, monkeypatch):
+    rnd = random.Random(14)
+    noise = lambda k: " ".join(f"n{rnd.randrange(10**6)}" for _ in range(k))
+    item = " ".join(f"w{rnd.randrange(300)}" for _ in range(50))
+    items = [(0, "s", item), (1, "s", "quartz lantern"), (2, "s", "same " * 40), (3, "s", "?!"), (4, "s", None)] + [(10 + i, "s", f"Answer this question with care and in full sentences please {noise(30)}") for i in range(40)]
+    coded = base64.b64encode(item.encode()).decode()
+    docs = [(1, f"A line of prose goes first.\n{coded}\nand one after it"), (2, f"{noise(30)}\n> {coded[:76]}\n> {coded[76:]}\n"), (3, item.encode().hex()), (4, f"a Quartz-Lantern {noise(5)}"), (5, "same " * 30_000), (6, "same " * 9),
+            (7, quopri.encodestring(item.encode()).decode()), (8, '<p title="' + "x" * 3000 + '">' + item.replace(" ", '<b class="' + "y" * 500 + '"> </b>') + "</p>"), (9, items[7][2]), (10, (" ".join(item.split()[:9]) + " ") * 300), (11, "Answer this question with care and in full sentences please")]
+    d = spark.createDataFrame(docs, "doc_id bigint, text string")
+    i = spark.createDataFrame(items, "item_id bigint, suite string, text string")
+    want = {(1, 0), (2, 0), (3, 0), (4, 1), (5, 2), (7, 0), (8, 0), (9, items[7][0])}
+    assert {(r.doc_id, r.item_id) for r in leakage.leaks(d, i).collect()} == want
+    monkeypatch.setattr(leakage, "BLOCK_BYTES", 900)  # many blocks give the same
+    assert {(r.doc_id, r.item_id) for r in leakage.leaks(d, i).collect()} == want
+    assert leakage.leaks(d.limit(0), i).count() == leakage.leaks(d, i.limit(0)).count() == 0
+
+
+def test_covered_equals_trying_every_stretch():
+    rnd = random.Random(15)
+
+    def by_hand(item, doc):
+        n, step, best = len(item), min(3, len(item)), 0
+        for a in range(len(doc)):
+            hits = [(j, i) for j in range(a, min(len(doc), a + int(1.5 * n) + 21 + step - 1) - step + 1) if j - a <= int(1.5 * n) + 20 for i in range(n - step + 1) if doc[j : j + step] == item[i : i + step]]
+            chain = dict.fromkeys(hits, step)
+            for k, h in enumerate(hits):
+                for g in hits[:k]:
+                    if g[0] < h[0] and g[1] < h[1]:
+                        chain[h] = max(chain[h], chain[g] + min(step, h[0] - g[0], h[1] - g[1]))
+            best = max([best, *chain.values()])
+        return best / n
+
+    for _ in range(60):
+        item = [f"w{k % rnd.choice((3, 12, 12))}" for k in range(12)]
+        pieces = [(rnd.randrange(10), rnd.randrange(2, 9)) for _ in range(4)]
+        doc = [x for a, k in pieces for x in (item[a : a + k] if rnd.random() < 0.7 else ["z"] * k)]
+        assert leakage.covered(item, doc) == by_hand(item, doc), (item, doc)
+
+
 # --- problem 8
 
 def test_pivot_keeps_mass():
