@@ -144,6 +144,10 @@ class Python:
     def __init__(self):
         self.grammar = Grammar(TEXT.replace("KEYWORDS", _KEYWORDS.replace(" ", "|")), r"[ ]++")
 
+    def accepts(self, text: str) -> bool:
+        marked, _, _, broken = logical_lines(text)
+        return broken < 0 and self.grammar.accepts(marked)
+
     def parse(self, text: str) -> int:
         marked, here, there, broken = logical_lines(text)
         if broken >= 0:

@@ -27,16 +27,16 @@ def current_files(files: DataFrame) -> DataFrame:
     return files.groupBy("repo_id", F.replace("path", F.lit("\\"), F.lit("/")).alias("key")).agg(last).select("repo_id", "key", F.nullif("x.language", F.lit("")).alias("language"))
 
 
-def tasks(df: DataFrame) -> int:
-    """Tasks for work that is heavy a row: not to be merged by the size of its rows."""
-    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 4 * df.sparkSession.sparkContext.defaultParallelism)
+#: Bytes of paths and repositories up to which the list of files is broadcast, so that no content has to move.
+BROADCAST_BYTES = 32 << 20
 
 
 def with_language(contents: DataFrame, files: DataFrame) -> DataFrame:
     """(repo_id, path, content, language): contents with the current language of the file, NULL if it has none."""
-    n = tasks(contents)
-    body = contents.select("repo_id", "path", "content", F.replace("path", F.lit("\\"), F.lit("/")).alias("key")).repartition(n, "repo_id", "key")
-    return body.join(current_files(files).repartition(n, "repo_id", "key"), ["repo_id", "key"], "left").drop("key")
+    known = current_files(files)
+    size = files.agg(F.sum(F.coalesce(F.octet_length("path"), F.lit(0)) + F.coalesce(F.octet_length("repo_id"), F.lit(0)) + 40)).first()[0] or 0
+    body = contents.select("repo_id", "path", "content", F.replace("path", F.lit("\\"), F.lit("/")).alias("key"))
+    return body.join(F.broadcast(known) if size <= BROADCAST_BYTES else known, ["repo_id", "key"], "left").drop("key")
 
 
 def judge(text: str, language: str) -> tuple[bool, int | None, int | None, str | None]:
@@ -59,17 +59,24 @@ def judge(text: str, language: str) -> tuple[bool, int | None, int | None, str |
 
 
 def _report(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    sys.setrecursionlimit(200_000)
+    sys.setrecursionlimit(2**31 - 1)  # rules call each other on the heap, so that only memory bounds the depth of a text
     for b in batches:
-        out = []
-        for repo, path, content, language in zip(b["repo_id"], b["path"], b["content"], b["language"]):
-            try:
-                out.append((repo, path, language, *judge(content, language)))
-            except RecursionError:
-                out.append((repo, path, language, None, None, None, "nested too deeply to decide"))
+        out = [(repo, path, language, *judge(content, language)) for repo, path, content, language in zip(b["repo_id"], b["path"], b["content"], b["language"])]
         yield pd.DataFrame(out, columns=["repo_id", "path", "language", "valid", "failed_at", "failed_line", "cause"]).astype({"valid": object, "failed_at": "Int64", "failed_line": "Int64"})
 
 
+def _refused(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    sys.setrecursionlimit(2**31 - 1)
+    for b in batches:
+        yield b.loc[[not parser(language).accepts(content) for content, language in zip(b["content"], b["language"])], ["repo_id", "path"]]
+
+
+def judged(contents: DataFrame, files: DataFrame) -> DataFrame:
+    """(repo_id, path, content, language) of the files in a language that has a grammar."""
+    known = with_language(contents, files).where(F.col("language").isin(*LANGUAGES) & F.col("content").isNotNull())
+    return known.select("repo_id", "path", "content", "language")
+
+
 def syntax_report(contents: DataFrame, files: DataFrame) -> DataFrame:
     """One row per file in a language that has a grammar: REPORT.
 
@@ -78,13 +85,12 @@ def syntax_report(contents: DataFrame, files: DataFrame) -> DataFrame:
     text, markdown or any without a grammar are not judged and give no row; so do NULL contents. Empty files are
     judged like others (valid but for JSON). A repeated row gives a repeated row. Texts are parsed whole.
     """
-    judged = with_language(contents, files).where(F.col("language").isin(*LANGUAGES) & F.col("content").isNotNull())
-    return judged.select("repo_id", "path", "content", "language").mapInPandas(_report, REPORT)
+    return judged(contents, files).mapInPandas(_report, REPORT)
 
 
 def invalid_files(contents: DataFrame, files: DataFrame) -> DataFrame:
-    """(repo_id, path) of files that do not parse."""
-    return syntax_report(contents, files).where(~F.col("valid")).select("repo_id", "path").distinct()
+    """(repo_id, path) of files that do not parse; as syntax_report(), but without looking for the place and cause."""
+    return judged(contents, files).mapInPandas(_refused, "repo_id string, path string").distinct()
 
 
 def invalid_rates(contents: DataFrame, files: DataFrame) -> DataFrame:
