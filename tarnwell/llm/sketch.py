@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,7 +33,8 @@ class Compactors:
     from an odd or even start by a coin, moves up. How much is compacted follows the trailing ones of a counter, so
     the largest values of a level are hardly ever touched and the error in rank shrinks with the distance to the
     maximum. Two sketches merge level by level; the counters are joined by bits. Coins are drawn from a hash of the
-    key, the level and the counter, so a task that is run again gives the same result.
+    key, which names the task, the level and the counter: sketches that are merged toss their own, and a task that is
+    run again gives the same result.
     """
 
     def __init__(self, key: str, section: int = SECTION):
@@ -117,6 +119,7 @@ _NAMES = [c.split()[0] for c in STATE.split(", ")]
 def _partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """One sketch per series, group and day of this task's rows, built from chunks of at most CHUNK_ROWS."""
     sketches: dict[tuple, Compactors] = {}
+    task = TaskContext.get().partitionId()
 
     def fold(chunk: list[pd.DataFrame]) -> None:
         rows = pd.concat(chunk, ignore_index=True)
@@ -126,7 +129,7 @@ def _partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part, start in zip(np.split(values, np.flatnonzero(np.diff(codes)) + 1), np.concatenate([[0], np.flatnonzero(np.diff(codes)) + 1])):
             key = keys[codes[start]]
             if key not in sketches:
-                sketches[key] = Compactors(_key(*key))
+                sketches[key] = Compactors(f"{_key(*key)}\x1f{task}")  # own coins in each task, or errors would add up
             sketches[key].update(part)
 
     held, n = [], 0
@@ -160,12 +163,13 @@ def _merge_task(with_day: bool, report: bool):
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sketches: dict[tuple, tuple[Compactors, list]] = {}
+        task = TaskContext.get().partitionId()
         for b in batches:
             days = b["day"].astype("Int64").tolist() if with_day else [None] * len(b)
             for series, grp, day, level, flips, sections, vals in zip(b["series"], b["grp"], days, b["level"], b["flips"], b["sections"], b["vals"]):
                 key = (int(series), grp if isinstance(grp, str) else None, None if day is None or day is pd.NA else int(day))
                 if key not in sketches:
-                    sketches[key] = (Compactors(_key(*key)), [])
+                    sketches[key] = (Compactors(f"{_key(*key)}\x1fmerged\x1f{task}"), [])
                 sketch, pending = sketches[key]
                 pending.append((int(level), int(flips), int(sections), np.asarray(vals, float)))
                 if len(pending) >= PENDING:
