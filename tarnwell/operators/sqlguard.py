@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -48,25 +49,89 @@ def check(sql: str, longest: int = 20_000) -> str:
     return sql[: len(body)]
 
 
+# Functions that run other code.
+REFLECTION = frozenset(["reflect", "try_reflect", "java_method"])
+
+
+def relations(spark: SparkSession, sql: str) -> set[str]:
+    """The tables that a query reads, from its parsed plan, subqueries included and its common table expressions left
+    out. Refused if the statement is no plain query or names anything but tables of one part."""
+    try:
+        plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)
+    except Exception as e:
+        raise Refused("the statement can't be parsed") from e
+    forbidden = [spark._jvm.java.lang.Class.forName(f"org.apache.spark.sql.catalyst.plans.logical.{c}") for c in ("Command", "ParsedStatement")]
+    found: set[str] = set()
+
+    def each(seq) -> list:
+        return [seq.apply(i) for i in range(seq.size())]
+
+    def expression(x, own: frozenset) -> None:
+        kind = x.getClass().getSimpleName()
+        if kind in ("ScalarSubquery", "Exists", "ListQuery", "LateralSubquery"):
+            visit(x.plan(), own)
+        if kind == "UnresolvedFunction" and x.nameParts().last().lower() in REFLECTION:
+            raise Refused("functions that run other code are not allowed")
+        for y in each(x.children()):
+            expression(y, own)
+
+    def visit(node, own: frozenset) -> None:
+        kind = node.getClass().getSimpleName()
+        if any(c.isInstance(node) for c in forbidden):
+            raise Refused("only queries are allowed")
+        if kind == "UnresolvedWith":
+            recursive = node.allowRecursion()
+            for pair in each(node.cteRelations()):
+                name = pair._1().lower()
+                visit(pair._2(), own | {name} if recursive else own)
+                own |= {name}
+        elif kind == "UnresolvedRelation":
+            parts = each(node.multipartIdentifier())
+            if len(parts) != 1:
+                raise Refused(f"no such table: {'.'.join(parts)}")
+            if parts[0].lower() not in own:
+                found.add(parts[0])
+        elif kind == "UnresolvedTableValuedFunction" and node.name().last().lower() not in ("range", "explode", "explode_outer", "posexplode", "posexplode_outer", "inline", "inline_outer", "json_tuple", "stack"):
+            raise Refused(f"no such table function: {node.name().last()}")
+        elif "Relation" in kind and kind not in ("OneRowRelation", "LocalRelation"):
+            raise Refused(f"{kind} is not allowed")
+        for x in each(node.expressions()):
+            expression(x, own)
+        for child in each(node.children()):
+            visit(child, own)
+
+    visit(plan, frozenset())
+    return found
+
+
 def scoped_query(spark: SparkSession, tables: dict[str, DataFrame], sql: str, scope: str, column: str = "repo_id", most: int = 1000, args: dict | None = None) -> tuple[DataFrame, int]:
     """(rows, most): a checked statement over views that hold only the rows of scope, at most most + 1 of them, so that
-    one can tell whether there are more. The views live in the session under names of their own; the parsed plan must be a
-    query over these views alone."""
+    one can tell whether there are more.
+
+    Every table in the parsed plan must be one of the given ones or an own common table expression; files, functions
+    that make tables, and other views of the session are refused. The given tables come in as common table expressions,
+    which hide anything else of their names, over views with names of this call, which are dropped once it is analysed.
+    """
     sql = check(sql)
-    names = {}
-    for name, df in tables.items():
-        names[name] = f"__scoped_{name}"
-        (df.where(df[column] == scope) if column in df.columns else df).createOrReplaceTempView(names[name])
-    used = set(re.findall(r"\b(?:from|join)\s+([\w.`]+)", blank(sql)[0], re.I))
-    own = set(re.findall(r"(?:\bwith|,)\s+(\w+)\s+as\s*\(", blank(sql)[0], re.I))
-    strange = {u for u in used if u not in tables and u not in own}
+    known = {name.lower(): name for name in tables}
+    used = {t.lower() for t in relations(spark, sql)}
+    strange = used - known.keys()
     if strange:
         raise Refused(f"no such table: {', '.join(sorted(strange))}")
-    text = re.sub(r"(\b(?:from|join)\s+)(\w+)", lambda m: m[1] + names.get(m[2], m[2]) + (f" {m[2]}" if m[2] in names and not re.match(r"\s+(?:as\s+)?(?!where|join|on|group|order|limit|left|inner|cross|union|having)\w+", sql[m.end() :], re.I) else ""), sql, flags=re.I)
-    plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(text).getClass().getSimpleName()
-    if "Command" in plan or "Statement" in plan:
-        raise Refused("only queries are allowed")
-    return spark.sql(text, args or {}).limit(most + 1), most
+    call, views = uuid.uuid4().hex, {}
+    for name in sorted(used):
+        df = tables[known[name]]
+        views[name] = f"__scoped_{call}_{name}"
+        (df.where(df[column] == scope) if column in df.columns else df).createOrReplaceTempView(views[name])
+    try:
+        given = ", ".join(f"`{name}` as (select * from {view})" for name, view in views.items())
+        head = re.match(r"\s*with(\s+recursive)?\b", blank(sql)[0], re.I)
+        if given:
+            sql = f"with{head[1] or ''} {given}, {sql[head.end():]}" if head else f"with {given} {sql}"
+        return spark.sql(sql, args or {}).limit(most + 1), most
+    finally:
+        for view in views.values():
+            spark.catalog.dropTempView(view)
 
 
 def tables_named(sql: str) -> list[str]:
