@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
 
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +17,8 @@ from ..session import Scratch
 VALUE_CHARS = 60
 #: Words of a template's longest piece by which other sentences are aligned with it.
 ALIGNED_BY = 4
+#: A sentence with fewer words of its own beside its slots is no template.
+LEAST_WORDS = 2
 #: A line of candidate pages is page boilerplate if so many of them have it and this share of all records with it are such pages.
 PAGES, PURE = 3, 0.8
 
@@ -60,6 +62,7 @@ LATIN = frozenset(
     "lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua enim minim veniam quis nostrud exercitation ullamco laboris nisi aliquip ex ea commodo consequat duis aute irure in reprehenderit voluptate velit esse cillum eu fugiat nulla pariatur excepteur sint occaecat cupidatat non proident sunt culpa qui officia deserunt mollit anim id est laborum "
     "vitae sapien massa justo urna orci arcu felis lectus tellus risus nibh quam porta dapibus vero turpis mauris nunc odio augue metus neque purus diam erat leo ligula pellentesque viverra vestibulum".split()
 )
+_ONLY_LATIN = LATIN - frozenset("in et ex do ut id est sit sed sunt ea non do ad massa".split())  # the others are words of living languages, too
 FILLER = re.compile(
     r"""\b(?:(?:blah|asdf|qwer|zxcv|qwerty|foo\ bar\ baz)(?:\s+(?:blah|asdf|qwer|zxcv|qwerty|xx+))+
     | x{4,}(?:\s+x{3,})+
@@ -125,6 +128,73 @@ _CODE = re.compile(r"`[^`\n]+`")
 _LEAD = re.compile(r"^(?:\s|[*+\-•>#|]|\d+[.)]\s|\[[ xX]\]\s|//|\d\d:\d\d\s)+")
 _SENTENCE = re.compile(r"(?<=[.!?])\s+(?=[^\W\d_]|[\[{<$%@(&_#])|\s[–—]\s")
 _MASK = re.compile(r"(?<![\w.-])[\w.-]*/[\w./-]+|\b[A-Z]{2,}-\d+\b|\b[0-9a-f]{8,}\b|\b\w*\d[\w.:]*\b|\b[a-z]+(?:_[a-z]+)+\b|\b[a-z]+(?:[A-Z][a-z]+)+\b|\b(?:[A-Z][a-z]+){2,}\b|\b[a-z]+-[a-z]+\b")
+# What varies between records of a template, as whole words: what stands where a value is missing, values, and names of variables.
+_MISSING = re.compile(r"(?:n/a|tbd|tba|null|undefined|x{3,}|\?{3,}|\.{4,}|_{3,})", re.I)
+_VALUE = re.compile(r"[^\s@]+@[\w-]+(?:\.[\w-]+)+|\S*[/\d]\S*|[a-z]+-[a-z]+")
+_NAME_FORM = re.compile(r"[a-z]+(?:_[a-z]+)+|[A-Za-z][a-z]+(?:[A-Z][a-z]+)+|[A-Z]+(?:_[A-Z]+)+|[A-Z]{4,}")
+_EDGES = re.compile(r"([\"'(\[{<«„“‚‘*]*)(.*?)([.,;:!?)\]}>»”’\"'*…]*)", re.S)
+MARK, MISSING, VALUE, NAME, IDENTIFIER, CAPITAL = range(6)
+# Words for what records are filled with, in names that people give to such fields.
+FIELD_WORDS = frozenset(
+    "account address amount approver assignee author birthday branch city client company component contact contractor country currency customer date day deadline department description email employee environment firstname fullname "
+    "greeting hostname invoice language lastname location manager month name number order owner password person phone price product project quantity reason recipient region reporter repository sender service signature state status "
+    "street subject summary surname team tenant ticket time title token total url user username vendor version week year zip".split()
+)
+_PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
+
+
+class _Words(dict):
+    """(what is before, kind, text, what is after) of words seen before; kind is None for a word of the template."""
+
+    def __missing__(self, word: str) -> tuple[str, int | None, str, str]:
+        if len(self) > 300_000:
+            self.clear()
+        before, core, after = _EDGES.fullmatch(word).groups()
+        whole = word.rstrip(",;:!)")
+        if "\x02" in word:
+            x = (word[: word.index("\x02")], MARK, "\x02", word[word.rindex("\x02") + 1 :])
+        elif word in (",", ";") or _MISSING.fullmatch(whole):
+            x = ("", MISSING, whole, word if word in (",", ";") else word[len(whole) :])
+        elif _MISSING.fullmatch(core):
+            x = (before, MISSING, core, after)
+        elif _NAME_FORM.fullmatch(core):
+            field = {y.casefold() for y in _PARTS.findall(core)} & FIELD_WORDS
+            x = (before, NAME if field else IDENTIFIER, core, after)
+        elif _VALUE.fullmatch(core):
+            x = (before, VALUE, core, after)
+        else:
+            x = (before, CAPITAL if core[:1].isupper() else None, core, after)
+        self[word] = x
+        return x
+
+
+_WORDS = _Words()
+
+
+def skeleton(unit: str) -> tuple[int, list[tuple[int, int, int]]]:
+    """The hash of a unit's template, with a slot for each part that varies, and (slot, kind, hash) of what fills them.
+
+    Capitals within a sentence are values; neighbouring ones fill one slot together.
+    """
+    out: list[str] = []
+    fills: list[list] = []
+    begins, joins = True, False
+    for word in unit.split():
+        before, kind, text, after = _WORDS[word]
+        if kind is None or kind == CAPITAL and begins:
+            out.append(word.casefold())
+            joins = False
+        elif kind == CAPITAL and joins and not before:
+            fills[-1][1] += " " + text
+            out[-1] += after
+            joins = not after
+        else:
+            fills.append([VALUE if kind == CAPITAL else kind, text])
+            out.append(before + "\x03" + after)
+            joins = kind == CAPITAL and not after
+        begins = after[-1:] in (".", "!", "?", ":")
+    slots_only = len(out) - len(fills) < LEAST_WORDS
+    return _hash(" ".join(out)), [] if slots_only else [(i, kind, _hash(text)) for i, (kind, text) in enumerate(fills)]
 
 
 def units(text: str) -> list[str]:
@@ -171,18 +241,22 @@ def word_runs(shape: str) -> list[str]:
     return sorted({" ".join(ws[i : i + n]) for n in range(1, ALIGNED_BY + 1) for i in range(len(ws) - n + 1)})
 
 
+_FILLER_HINTS = ("blah", "asdf", "qwer", "zxcv", "foo bar baz", "xxxx", "will appear", "goes here", "comes here", "in this place", "sample", "dummy", "example", "placeholder", "write", "replace", "texte", "blindtext", "văn", "mẫu")
+_MARK_HINTS = ("{", "[", "<", "$", "%", "@@", "__", "&lt;", "(fill", "(insert", "(enter", "tbd", "todo:")
+_LETTERS = re.compile(r"[^\W\d_]+")
+
+
 def has_filler(unit: str) -> bool:
-    if FILLER.search(unit) and not re.search(r"[\"“„«'][^\"”“»']{0,60}(?:lorem|blah|asdf|text goes here|sample|placeholder)", unit, re.I):
+    low = unit.casefold()
+    if any(x in low for x in _FILLER_HINTS) and FILLER.search(unit) and not re.search(r"[\"“„«'][^\"”“»']{0,60}(?:lorem|blah|asdf|text goes here|sample|placeholder)", unit, re.I):
         return True
-    ws = re.findall(r"[^\W\d_]+", unit.casefold())
+    ws = _LETTERS.findall(low)
     return len(ws) >= 5 and sum(w in LATIN for w in ws) >= 0.7 * len(ws)
 
 
-def page_units(text: str, all_units: list[str]) -> tuple[list[str], bool]:
-    """The templates of units that are neither errors nor page frames, and whether one is an error; a text with fenced code is no page."""
-    if "\x00" in _FENCE.sub("\x00", text):
-        return ["\x00"], False
-    heading = re.match(r"\s*#\s+(\S+)\s*$", text.lstrip("\ufeff\n ").split("\n", 1)[0])
+def page_lines(text: str, all_units: list[str]) -> list[int] | None:
+    """Numbers of the units that are neither errors nor page frames; None if no unit is an error. A text with fenced code is no page."""
+    heading = re.match(r"\s*#\s+(\S+)\s*$", text.lstrip("﻿\n ").split("\n", 1)[0])
     rest, seen = [], False
     for i, u in enumerate(all_units):
         u = u.strip(" .\t")
@@ -190,57 +264,81 @@ def page_units(text: str, all_units: list[str]) -> tuple[list[str], bool]:
             continue
         if ERROR.match(u):
             seen = True
-        elif not FRAME.match(u):
-            rest.append(_masked(u))
-    return rest, seen
+        else:
+            rest.append((i, u))
+    return [i for i, u in rest if not FRAME.match(u)] if seen else None
 
 
-def _hash(line: str) -> int:
-    """Not 0, which stands for a text that is no page."""
-    return int.from_bytes(hashlib.blake2b(line.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True) or 1
+def _hash(text: str) -> int:
+    """A hash that fits in 64 bits with a sign."""
+    return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
 def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
-        found, talk, filler, rest, error = [], [], [], [], []
+        columns: dict[str, list] = {c: [] for c in ("found", "talk", "filler", "slots", "shapes", "page")}
         for text in b["text"]:
-            us = units(text)
-            f, said = [], set()
+            us, low = units(text), text.casefold()
+            marked, talking = any(x in low for x in _MARK_HINTS), TALKS.search(text) is not None
+            found, said, slots_, shapes = [], set(), set(), []
             for u in us:
-                template, fills = slots(u)
-                talks = TALKS.search(template if fills else u) is not None
-                key, forms = aligned(template) if fills and talks else ("", [])
-                f += [{"template": template, "slot": i, "fill": x, "key": key if talks else None, "form": forms[i] if talks else None} for i, x in enumerate(fills)]
-                if talks:
+                template, fills = slots(u) if marked else ("", [])
+                if talking and TALKS.search(template if fills else u):
+                    key, forms = aligned(template) if fills else ("", [])
+                    found += [{"template": template, "slot": i, "fill": x, "key": key, "form": forms[i]} for i, x in enumerate(fills)]
                     said.add(template or _masked(u))
-            found.append(f)
-            talk.append(sorted(said))
-            filler.append(any(map(has_filler, us)))
-            r, e = page_units(text, us)
-            rest.append([0] if r == ["\x00"] else sorted({_hash(x) for x in r}))
-            error.append(e)
-        yield pd.DataFrame({"doc_id": b["doc_id"], "found": found, "talk": talk, "filler": filler, "rest": rest, "error": error})
-
-
-_SCAN = "doc_id bigint, found array<struct<template: string, slot: int, fill: string, key: string, form: string>>, talk array<string>, filler boolean, rest array<bigint>, error boolean"
+                else:
+                    found += [{"template": template, "slot": i, "fill": x, "key": None, "form": None} for i, x in enumerate(fills)]
+                shape, parts = skeleton(PLACEHOLDERS.sub("\x02", u) if fills else u)
+                shapes.append(shape)
+                slots_ |= {(shape, *x) for x in parts}
+            hinted = any(x in low for x in _FILLER_HINTS) or not _ONLY_LATIN.isdisjoint(_LETTERS.findall(low))
+            fenced = "\x00" in us
+            page = None if fenced else page_lines(text, us)
+            columns["found"].append(found)
+            columns["talk"].append(sorted(said))
+            columns["filler"].append(hinted and any(map(has_filler, us)))
+            columns["slots"].append([{"shape": a, "slot": i, "kind": k, "fill": h} for a, i, k, h in sorted(slots_)])
+            columns["shapes"].append([] if fenced else sorted(set(shapes)))
+            columns["page"].append(None if page is None else sorted({shapes[i] for i in page}))
+        yield pd.DataFrame({"doc_id": b["doc_id"], **columns})
+
+
+_SCAN = """doc_id bigint, found array<struct<template: string, slot: int, fill: string, key: string, form: string>>, talk array<string>, filler boolean,
+    slots array<struct<shape: bigint, slot: int, kind: int, fill: bigint>>, shapes array<bigint>, page array<bigint>"""
+
+
+def _bare(scan: DataFrame) -> DataFrame:
+    """doc_id of records with a bare name, default or blank in a slot that other records of the template fill.
+
+    Records are aligned by the template of each sentence. A slot is induced from what its records hold: it needs two
+    different values, and twice as many values as identifiers, names and gaps, or it is a place for identifiers.
+    """
+    slot = scan.select("doc_id", F.explode("slots").alias("x")).select("doc_id", "x.*")
+    empty = slot.where(F.col("kind").isin(NAME, MISSING))
+    value = F.col("kind") == VALUE
+    held = slot.groupBy("shape", "slot").agg(F.count_if(value).alias("values"), F.count_if(~value).alias("others"), F.min(F.when(value, F.col("fill"))).alias("a"), F.max(F.when(value, F.col("fill"))).alias("b"))
+    induced = held.where("a <> b and values >= 2 * others").select("shape", "slot")
+    induced = induced.join(empty.select("shape", "slot").distinct(), ["shape", "slot"], "left_semi")
+    return salted_join(empty, induced, ["shape", "slot"], "left_semi", spread=F.col("doc_id")).select("doc_id")
 
 
 def residue(documents: DataFrame) -> DataFrame:
     """(doc_id, unfilled, filler, error_page): each document with at least one of the three.
 
-    Method: the sentences outside code are cut into a template and the texts in its marked slots. Records of the
-    same template, filled ones included, are aligned over the whole corpus; a slot in which no record has another
-    text is a constant if the wording talks about placeholders (TALKS), however many records there are; any other
-    slot that still holds a variable's name, a default or a blank is unfilled. Filler is dummy Latin, keyboard runs and instructions of
-    page builders. An error page consists of nothing but errors, notices and page frames; lines beside them count
-    as frame if PAGES such pages repeat them and hardly any other record has them, however long the page is.
+    Method: the sentences outside code are cut into a template and what stands in its slots, be it a mark, a value, a
+    name or nothing, and records of the same template are aligned over the whole corpus. A slot that others fill with
+    values is unfilled in a record that holds the name of a field, a default or a blank there. A slot that still holds
+    a template engine's mark is unfilled, unless it is a constant: no record has another text there and the wording
+    talks about placeholders (TALKS), however many records there are. Filler is dummy Latin, keyboard runs and
+    instructions of page builders. An error page consists of nothing but errors, notices and page frames; lines beside
+    them count as frame if PAGES such pages repeat them and hardly any other record has them, however long the page is.
 
     Defined cases: NULL and empty texts, and NULL ids, give no row; each row of documents counts by its doc_id,
     a repeated one once; texts are read whole.
     """
     docs = documents.where(F.col("doc_id").isNotNull() & (F.length("text") > 0)).select("doc_id", "text")
-    scan = docs.mapInPandas(_scan, _SCAN).where((F.size("found") > 0) | (F.size("talk") > 0) | F.col("filler") | (F.size("rest") == 0) | (F.element_at("rest", 1) != 0))
-    scan = Scratch(documents.sparkSession, "residue").save(scan, "scan")
+    scan = Scratch(documents.sparkSession, "residue").save(docs.mapInPandas(_scan, _SCAN), "scan")
     slot = scan.select("doc_id", F.explode("found").alias("x")).select("doc_id", "x.*")
     same = slot.where("key is not null").groupBy("template", "slot").agg(F.min("fill").alias("a"), F.max("fill").alias("b"), F.min("key").alias("key"), F.min("form").alias("form"))
     same = same.where("a = b").select("template", "slot", "key", "form")
@@ -249,12 +347,12 @@ def residue(documents: DataFrame) -> DataFrame:
     same = same.join(filled, ["template", "slot"], "left_anti").select("template", "slot")
     unfilled = salted_join(slot, same, ["template", "slot"], "left_anti").select("doc_id", F.lit("unfilled").alias("kind"))
     filler = scan.where("filler").select("doc_id", F.lit("filler").alias("kind"))
-    plain = scan.where((F.size("rest") == 0) | (F.element_at("rest", 1) != 0))
-    lines = plain.where(F.size("rest") > 0).select("error", F.explode("rest").alias("line")).groupBy("line").agg(F.count_if("error").alias("pages"), F.count(F.lit(1)).alias("n"))
-    boilerplate = lines.where((F.col("pages") >= PAGES) & (F.col("pages") >= PURE * F.col("n"))).select("line")
-    bare = plain.where("error and size(rest) = 0").select("doc_id", F.lit("error_page").alias("kind"))
-    more = plain.where("error and size(rest) > 0").select("doc_id", F.explode("rest").alias("line"))
-    known = salted_join(more, boilerplate.withColumn("known", F.lit(1)), ["line"], "left").groupBy("doc_id").agg(F.min(F.coalesce("known", F.lit(0))).alias("all_known"))
+    bare = _bare(scan).select("doc_id", F.lit("unfilled").alias("kind"))
+    whole = scan.where(F.size("page") == 0).select("doc_id", F.lit("error_page").alias("kind"))
+    more = scan.where(F.size("page") > 0).select("doc_id", F.explode("page").alias("line"))
+    lines = scan.select(F.col("page").isNotNull().alias("error"), F.explode("shapes").alias("line")).groupBy("line").agg(F.count_if("error").alias("pages"), F.count(F.lit(1)).alias("n"))
+    repeated = lines.where((F.col("pages") >= PAGES) & (F.col("pages") >= PURE * F.col("n"))).select("line", F.lit(1).alias("known"))
+    known = salted_join(more, repeated, ["line"], "left").groupBy("doc_id").agg(F.min(F.coalesce("known", F.lit(0))).alias("all_known"))
     framed = known.where("all_known = 1").select("doc_id", F.lit("error_page").alias("kind"))
     flag = lambda k: F.max(F.col("kind") == k).alias(k)
-    return unfilled.unionByName(filler).unionByName(bare).unionByName(framed).groupBy("doc_id").agg(flag("unfilled"), flag("filler"), flag("error_page"))
+    return unfilled.unionByName(bare).unionByName(filler).unionByName(whole).unionByName(framed).groupBy("doc_id").agg(flag("unfilled"), flag("filler"), flag("error_page"))

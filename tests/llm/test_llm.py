@@ -301,3 +301,21 @@ def test_error_pages_of_any_length(spark):
     assert len(trace) > 40_000 and len(notice.split()) > 90 and len(own.split()) > 90
     d = [(1, trace), (2, notice), *((10 + i, f"503 Service Unavailable\n{own}") for i in range(3)), (20, trace + "\nWe raised the pool to 40 and the errors stopped."), (21, "x/" * 30_000), (22, "y" * 60_000)]
     assert {r.doc_id for r in residue.residue(spark.createDataFrame(d, "doc_id bigint, text string")).collect()} == {1, 2, 10, 11, 12}
+
+
+def test_bare_names_defaults_and_blanks_in_induced_slots(spark):
+    letter = "Dear {}, your order has left our store on Monday."
+    d = [(i, letter.format(x)) for i, x in enumerate(["Anna Meyer", "Mai Tran", "Luc Petit", "Ola", "Anna Meyer", "Bo Li", "Eva", "Jan Kos"])]
+    d += [(20 + i, letter.format(x)) for i, x in enumerate(["customer_name", "FIRSTNAME", "N/A"])] + [(30, "Dear , your order has left our store on Monday.")]
+    d += [(40 + i, f"We compared {a} with {b} and found a difference.") for i, (a, b) in enumerate([("owner_name", "PendingBroker"), ("walkTree", "ColdToken"), ("SilentQuota", "user_id"), ("a.ts", "b.ts")])]
+    d += [(50, "Dear customer_name, this template has only one record."), (51, "customer_name"), (52, None), (53, "")]
+    t = spark.createDataFrame(d + d[:2], "doc_id bigint, text string")
+    assert {(r.doc_id, r.unfilled) for r in residue.residue(t).collect()} == {(i, True) for i in (20, 21, 22, 30)}
+    few = t.where("doc_id < 21 and doc_id not between 1 and 7")  # one value only: nothing is known to vary
+    assert residue.residue(few).count() == 0
+
+
+def test_skeletons_align_records():
+    a, b, c = (residue.skeleton(f"Dear {x}, your order {n} has left.") for x, n in (("Anna Meyer", 17), ("customer_name", "GX-4"), ("N/A", "ORDER_ID")))
+    assert a[0] == b[0] == c[0] and [k for _, k, _ in a[1]] == [residue.VALUE] * 2 and [k for _, k, _ in b[1]] == [residue.NAME, residue.VALUE]
+    assert [k for _, k, _ in c[1]] == [residue.MISSING, residue.NAME]
