@@ -13,8 +13,8 @@ from pyspark.sql.types import IntegerType, StringType
 # Default confidence of an edge by the prefix of its target token, else by its type, else 1.
 TOKEN_CONFIDENCE = {"callee": 0.4, "import": 0.5, "type": 0.45, "property": 0.5}
 TYPE_CONFIDENCE = {"CALLS": 1.0, "IMPORTS": 0.95, "TYPE_REF": 0.9, "PROPERTY_REF": 0.85, "PROPERTY_WRITE": 0.82}
-#: Fixed value: what counts as a test file, by its path.
-TEST_PATH = r"(?i)(^|/)(__tests__|tests?)/|\.(test|spec)\.[a-z]+$|(^|/)test_[^/]*\.py$|_test\.py$|Tests\.cs$"
+# Folders of tests, and the part before the extension that names a test (walk.test.ts).
+TEST_FOLDERS, TEST_PARTS = ("test", "tests", "__tests__"), ("test", "spec")
 
 
 def stable_id(x: Column) -> Column:
@@ -27,7 +27,14 @@ def norm_path(p: Column) -> Column:
 
 
 def is_test_path(p: Column) -> Column:
-    return norm_path(p).rlike(TEST_PATH)
+    """A file in a folder of tests, or one whose own name says so in the way of its language; case does not matter."""
+    steps = F.split(F.lower(norm_path(p)), "/")
+    name = F.element_at(steps, -1)
+    parts = F.split(name, r"\.")
+    in_folder = F.arrays_overlap(F.slice(steps, 1, F.size(steps) - 1), F.array(*map(F.lit, TEST_FOLDERS)))
+    by_part = (F.size(parts) > 2) & F.try_element_at(parts, F.lit(-2)).isin(*TEST_PARTS)
+    python = (name.startswith("test_") & name.endswith(".py")) | name.endswith("_test.py")
+    return in_folder | F.coalesce(by_part, F.lit(False)) | python | name.endswith("tests.cs")
 
 
 def is_migration(path: Column, name: Column) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import is_test_path
 from ..session import Scratch
+from .skew import hot_keys, salted_join
 
 # Edge types that a walk along calls follows.
 CALL_TYPES = ["CALLS", "PUBLISHES", "USES_COMPONENT", "USES_CSS_VAR", "USES_CSS_CLASS", "SQL_USES", "SQL_REFERENCES", "SQL_GRANT", "SQL_QUERY"]
@@ -23,9 +24,22 @@ def is_token(c: Column) -> Column:
 
 
 def endpoints(edges: DataFrame, symbols: DataFrame, how: str = "left") -> DataFrame:
-    """edges with source and target symbols: source_*, target_* of name, file, kind; outer joins keep open ends."""
-    side = lambda p, key: symbols.select("repo_id", F.col("symbol_id").alias(key), F.col("name").alias(f"{p}_name"), F.col("file_path").alias(f"{p}_file"), F.col("kind").alias(f"{p}_kind"))
-    return edges.join(side("source", "from_id"), ["repo_id", "from_id"], how).join(side("target", "to_id"), ["repo_id", "to_id"], how)
+    """edges with source and target symbols: source_*, target_* of name, file, kind; outer joins keep open ends.
+
+    A target that holds many edges is split by a salt; sources are as many as symbols and are not.
+    """
+
+    def side(p: str, key: str) -> DataFrame:
+        named = [F.col(c).alias(f"{p}_{n}") for c, n in (("name", "name"), ("file_path", "file"), ("kind", "kind"))]
+        return symbols.select("repo_id", F.col("symbol_id").alias(key), *named)
+
+    met = edges.join(side("source", "from_id"), ["repo_id", "from_id"], how)
+    return salted_join(met, side("target", "to_id"), ["repo_id", "to_id"], how, hot=hot_targets(edges), spread=F.struct("from_id", "edge_id") if "edge_id" in edges.columns else F.col("from_id"))
+
+
+def hot_targets(edges: DataFrame) -> DataFrame:
+    """(repo_id, to_id, parts) of the targets that hold many of the edges."""
+    return hot_keys(edges.groupBy("repo_id", "to_id").agg(F.count(F.lit(1)).alias("n")), ["repo_id", "to_id"])
 
 
 def without_tests(df: DataFrame, path: str) -> DataFrame:
@@ -36,23 +50,26 @@ def without_tests(df: DataFrame, path: str) -> DataFrame:
 def token_pairs(symbols: DataFrame, edges: DataFrame) -> DataFrame:
     """(repo_id, symbol_id, edge_id): edges that mean a symbol by its id or by a token of its name.
 
-    One equi-join per way instead of one join with OR, which Spark could only run as a nested loop: id; callee:,
-    type: and property: name; property:Owner.name; and for properties the text after the last dot.
+    The ways: id; callee:, type: and property: name; property:Owner.name; and for properties the text after the last
+    dot. Each symbol is put under every key that can mean it, each edge under every key it can mean, marked by the way,
+    so that one equi-join over one pass of the edges does for all; a key with many edges is split by a salt.
     """
-    e = edges.select("repo_id", "edge_id", "to_id", "type")
     parent = symbols.select("repo_id", F.col("symbol_id").alias("parent_symbol_id"), F.col("name").alias("owner"))
-    s = symbols.join(parent, ["repo_id", "parent_symbol_id"], "left").select("repo_id", "symbol_id", "name", "kind", "owner")
-    by = lambda key, cond=None: s.where(cond if cond is not None else F.lit(True)).select("repo_id", "symbol_id", key.alias("to_id"))
-    token = lambda p: F.concat(F.lit(p + ":"), F.col("name"))
-    of = lambda *types: e.where(F.col("type").isin(*types))
-    props = of("PROPERTY_REF", "PROPERTY_WRITE")
-    last = props.where(F.col("to_id").startswith("property:") & F.col("to_id").contains(".")).withColumn("to_id", F.substring_index("to_id", ".", -1))
-    on = ["repo_id", "to_id"]
-    ways = [
-        e.join(by(F.col("symbol_id")), on), of("CALLS").join(by(token("callee")), on), of("TYPE_REF").join(by(token("type")), on), props.join(by(token("property")), on),
-        props.join(by(F.concat(F.lit("property:"), F.coalesce("owner", F.lit("")), F.lit("."), F.col("name"))), on), last.join(by(F.col("name"), F.col("kind") == "property"), on),
-    ]
-    return reduce(DataFrame.union, [w.select("repo_id", "symbol_id", "edge_id") for w in ways]).distinct()
+    s = symbols.join(parent, ["repo_id", "parent_symbol_id"], "left")
+    name, key = F.col("name"), lambda way, *c: F.concat(F.lit(way), *c)
+    meant = F.array(
+        key("i ", F.col("symbol_id")), key("c callee:", name), key("t type:", name), key("p property:", name),
+        key("p property:", F.coalesce("owner", F.lit("")), F.lit("."), name), F.when(F.col("kind") == "property", key("l ", name)),
+    )
+    s = s.select("repo_id", "symbol_id", F.explode(F.array_distinct(F.array_compact(meant))).alias("key"))
+    to, kind = F.col("to_id"), F.col("type")
+    of_property = kind.isin("PROPERTY_REF", "PROPERTY_WRITE")
+    means = F.array(
+        key("i ", to), F.when(kind == "CALLS", key("c ", to)), F.when(kind == "TYPE_REF", key("t ", to)), F.when(of_property, key("p ", to)),
+        F.when(of_property & to.startswith("property:") & to.contains("."), key("l ", F.substring_index(to, ".", -1))),
+    )
+    e = edges.select("repo_id", "edge_id", F.explode(F.array_compact(means)).alias("key"))
+    return salted_join(e, s, ["repo_id", "key"], "inner", spread=F.col("edge_id")).select("repo_id", "symbol_id", "edge_id").distinct()
 
 
 def enclosing(probes: DataFrame, symbols: DataFrame) -> DataFrame:
@@ -70,15 +87,16 @@ def enclosing(probes: DataFrame, symbols: DataFrame) -> DataFrame:
 def reach(start: DataFrame, edges: DataFrame, depth: int, backward: bool = False) -> DataFrame:
     """(repo_id, id, distance) of all nodes within depth steps of start (repo_id, id), breadth first.
 
-    edges: (repo_id, from_id, to_id). Each level joins the frontier only and drops what was seen; levels are
-    written to the shared folder.
+    edges: (repo_id, from_id, to_id). Each level joins the frontier only and drops what was seen; nodes with
+    many neighbours are split by a salt; levels are written to the shared folder.
     """
     scratch = Scratch(start.sparkSession, "reach")
     a, b = ("to_id", "from_id") if backward else ("from_id", "to_id")
     step = scratch.save(edges.select("repo_id", F.col(a).alias("id"), F.col(b).alias("next")).distinct(), "step")
+    hot = scratch.save(hot_keys(step.groupBy("repo_id", "id").agg(F.count(F.lit(1)).alias("n")), ["repo_id", "id"]), "hot")
     seen = frontier = scratch.save(start.select("repo_id", "id").distinct().withColumn("distance", F.lit(0)), "level0")
     for k in range(1, depth + 1):
-        found = frontier.join(step, ["repo_id", "id"]).select("repo_id", F.col("next").alias("id")).distinct()
+        found = salted_join(step, frontier, ["repo_id", "id"], "inner", hot=hot, spread=F.col("next")).select("repo_id", F.col("next").alias("id")).distinct()
         frontier = scratch.save(found.join(seen.select("repo_id", "id"), ["repo_id", "id"], "left_anti").withColumn("distance", F.lit(k)), f"level{k}")
         if not frontier.limit(1).count():
             break
@@ -116,9 +134,9 @@ def uncalled(symbols: DataFrame, edges: DataFrame, kinds: list[str]) -> DataFram
     used = edges.where(F.col("type").isin("CALLS", "TYPE_REF", "IMPORTS", "PUBLISHES", "USES_COMPONENT")).select("repo_id", "to_id").distinct()
     s = without_tests(symbols.where(F.col("kind").isin(*kinds)), "file_path")
     s = s.where(~F.col("name").startswith("_") & ~F.coalesce(F.col("signature").startswith("private "), F.lit(False)) & ~F.col("name").isin(*TRIVIAL_NAMES))
-    for key in (F.col("symbol_id"), *[F.concat(F.lit(p), F.col("name")) for p in ("callee:", "type:", "import:", "component:")]):
-        s = s.withColumn("to_id", key).join(used, ["repo_id", "to_id"], "left_anti")
-    return s.select("repo_id", "symbol_id", "name", "file_path")
+    ways = F.array(F.col("symbol_id"), *[F.concat(F.lit(p), F.col("name")) for p in ("callee:", "type:", "import:", "component:")])
+    met = s.select("repo_id", "symbol_id", F.explode(ways).alias("to_id")).join(used, ["repo_id", "to_id"], "left_semi")
+    return s.join(met.select("repo_id", "symbol_id").distinct(), ["repo_id", "symbol_id"], "left_anti").select("repo_id", "symbol_id", "name", "file_path")
 
 
 def interface_siblings(symbols: DataFrame, edges: DataFrame, most: int = 20) -> DataFrame:

@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import convention_key, convention_stem, is_test_path, similarity
-from .graph import is_token
+from .graph import hot_targets, is_token
+from .skew import salted_join
 
 # Rank of symbol kinds as targets of a call, the best first; others come last.
 KIND_RANK = {"method": 0, "function": 1, "constructor": 2, "class": 3, "interface": 4, "struct": 5, "record": 6, "property": 7, "variable": 8}
@@ -31,25 +32,32 @@ def imported_files(edges: DataFrame, symbols: DataFrame) -> DataFrame:
     a = symbols.select("repo_id", F.col("symbol_id").alias("from_id"), F.col("file_path").alias("source_file"))
     b = symbols.select("repo_id", F.col("symbol_id").alias("to_id"), F.col("file_path").alias("target_file"))
     e = edges.where((F.col("type") == "IMPORTS") & ~is_token(F.col("to_id")))
-    return e.join(a, ["repo_id", "from_id"]).join(b, ["repo_id", "to_id"]).select("repo_id", "source_file", "target_file").distinct()
+    met = salted_join(e.join(a, ["repo_id", "from_id"]), b, ["repo_id", "to_id"], hot=hot_targets(e), spread=F.col("from_id"))
+    return met.select("repo_id", "source_file", "target_file").distinct()
 
 
 def best_candidate(edges: DataFrame, symbols: DataFrame, prefix: str, kinds: list[str]) -> DataFrame:
     """(edge_id, symbol_id, how): for edges to prefix:name the symbol of that name and kind that fits best.
 
-    Score: same file 0, imported file 25, else 100, plus the rank of the kind; ties by path and id. The candidates
-    of a (file, name) are scored once, however many edges ask.
+    Score: same file 0, imported file 25, else 100, plus the rank of the kind; ties by path and id. Of each name the
+    best symbol of a repository and of each file are found once; a (file, name) that is asked for then meets three of
+    them at most a file it imports, and never all symbols of a common name.
     """
     asks = edges.where(F.col("to_id").startswith(prefix + ":")).select("repo_id", "edge_id", "from_id", F.substring_index(F.regexp_replace("to_id", f"^{prefix}:", ""), ".", -1).alias("name"))
     src = symbols.select("repo_id", F.col("symbol_id").alias("from_id"), F.col("file_path").alias("source_file"))
     asks = asks.join(src, ["repo_id", "from_id"])
-    pool = symbols.where(F.col("kind").isin(*kinds)).select("repo_id", "name", "symbol_id", "file_path", "kind")
-    imports = imported_files(edges, symbols).select("repo_id", "source_file", F.col("target_file").alias("file_path"), F.lit(True).alias("imported"))
-    x = asks.select("repo_id", "source_file", "name").distinct().join(pool, ["repo_id", "name"]).join(imports, ["repo_id", "source_file", "file_path"], "left")
-    how = F.when(F.col("source_file") == F.col("file_path"), "same file").when(F.col("imported"), "imported").otherwise("name")
-    score = F.when(how == "same file", 0).when(how == "imported", 25).otherwise(100) + kind_rank(F.col("kind"))
-    best = x.groupBy("repo_id", "source_file", "name").agg(F.min(F.struct(score.alias("score"), "file_path", "symbol_id", how.alias("how"))).alias("b"))
-    return asks.join(best, ["repo_id", "source_file", "name"]).select("edge_id", F.col("b.symbol_id").alias("symbol_id"), F.col("b.how").alias("how"))
+    pool = symbols.where(F.col("kind").isin(*kinds)).select("repo_id", "name", F.struct(kind_rank(F.col("kind")).alias("rank"), "file_path", "symbol_id").alias("best"))
+    in_file = pool.groupBy("repo_id", "name", "best.file_path").agg(F.min("best").alias("best"))
+    anywhere = in_file.groupBy("repo_id", "name").agg(F.min("best").alias("best"))
+    keys = ["repo_id", "source_file", "name"]
+    wanted = asks.select(*keys).distinct()
+    way = lambda points, how: F.struct((F.col("best.rank") + points).alias("score"), F.col("best.file_path").alias("file_path"), F.col("best.symbol_id").alias("symbol_id"), F.lit(how).alias("how"))
+    imports = imported_files(edges, symbols).select("repo_id", "source_file", F.col("target_file").alias("file_path"))
+    own = wanted.withColumn("file_path", F.col("source_file")).join(in_file, ["repo_id", "name", "file_path"]).select(*keys, way(0, "same file").alias("w"))
+    near = wanted.join(imports, ["repo_id", "source_file"]).where("file_path <> source_file").join(in_file, ["repo_id", "name", "file_path"]).select(*keys, way(25, "imported").alias("w"))
+    far = salted_join(wanted, anywhere, ["repo_id", "name"], spread=F.col("source_file")).select(*keys, way(100, "name").alias("w"))
+    best = own.unionByName(near).unionByName(far).groupBy(*keys).agg(F.min("w").alias("b"))
+    return salted_join(asks, best, keys, spread=F.col("edge_id")).select("edge_id", F.col("b.symbol_id").alias("symbol_id"), F.col("b.how").alias("how"))
 
 
 def resolve(edges: DataFrame, symbols: DataFrame, prefix: str, kinds: list[str], external: list[str]) -> DataFrame:
@@ -70,8 +78,9 @@ def cross_repo(edges: DataFrame, symbols: DataFrame) -> DataFrame:
     size = symbols.groupBy("repo_id").agg(F.count(F.lit(1)).alias("n"))
     homes = symbols.select(F.col("symbol_id").alias("to_id"), "repo_id").distinct().join(size, "repo_id").select("to_id", F.col("repo_id").alias("to_repo"), "n")
     best = homes.groupBy("to_id").agg(F.max(F.struct("n", "to_repo")).alias("b"))
-    open_ = edges.where(~is_token(F.col("to_id"))).join(symbols.select("repo_id", F.col("symbol_id").alias("to_id")), ["repo_id", "to_id"], "left_anti")
-    return open_.join(best, "to_id").select("edge_id", F.col("b.to_repo").alias("to_repo"))
+    claims = edges.where(~is_token(F.col("to_id"))).select("repo_id", "edge_id", "to_id")
+    open_ = salted_join(claims, symbols.select("repo_id", F.col("symbol_id").alias("to_id")), ["repo_id", "to_id"], "left_anti", spread=F.col("edge_id"))
+    return salted_join(open_, best, ["to_id"], spread=F.col("edge_id")).select("edge_id", F.col("b.to_repo").alias("to_repo"))
 
 
 def mentions(documents: DataFrame) -> DataFrame:

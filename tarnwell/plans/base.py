@@ -36,3 +36,13 @@ SYM = """sym as (
 FIL = """fil as (
     select repo_id, replace(path, '\\', '/') as path, content_hash, language, cast(updated_at as timestamptz) as updated_at from files
     qualify row_number() over (partition by repo_id, replace(path, '\\', '/') order by cast(updated_at as timestamptz) desc, content_hash desc, coalesce(language, '') desc) = 1)"""
+
+
+def test_sql(p: str) -> str:
+    """SQL for a path of a test file, of a path with / as separator."""
+    steps, name = f"string_split(lower({p}), '/')", f"string_split(lower({p}), '/')[-1]"
+    parts = f"string_split({name}, '.')"
+    return (
+        f"(list_has_any({steps}[:-2], ['test', 'tests', '__tests__']) or (len({parts}) > 2 and {parts}[-2] in ('test', 'spec'))"
+        f" or (starts_with({name}, 'test_') and ends_with({name}, '.py')) or ends_with({name}, '_test.py') or ends_with({name}, 'tests.cs'))"
+    )

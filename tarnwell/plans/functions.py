@@ -25,7 +25,6 @@ def _djb2(x: str) -> str:
 
 _S = "with " + base.SYM
 _EP = "lower(regexp_replace('/' || regexp_replace(regexp_replace(regexp_replace({x}, '[\"''`]', '', 'g'), '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/]*', ''), '[?#].*$', ''), '/+', '/', 'g'))"
-_TEST = r"regexp_matches({p}, '(?i)(^|/)(__tests__|tests?)/|\.(test|spec)\.[a-z]+$|(^|/)test_[^/]*\.py$|_test\.py$|Tests\.cs$')"
 
 
 def _names(s, d):
@@ -66,7 +65,7 @@ QUERIES = {
 SQL = {
     "fn_stable_id": _S + " select repo_id, symbol_id, substr(sha256(repo_id || ':' || file_path || ':' || kind || ':' || name), 1, 24) as id from sym",
     "fn_norm_path": "select distinct repo_id, path, replace(path, '\\', '/') as norm from files",
-    "fn_is_test_path": "with " + base.FIL + f" select {_TEST.format(p='path')} as is_test, count(*) as n from fil group by 1",
+    "fn_is_test_path": "with " + base.FIL + f" select {base.test_sql('path')} as is_test, count(*) as n from fil group by 1",
     "fn_is_migration": _S + r" select regexp_matches(regexp_extract(file_path, '([^/]*)$', 1), '^\d{8,}_') or (name in ('Up', 'Down') and regexp_matches(file_path, '(?i)migration')) as migration, count(*) as n from sym group by 1",
     "fn_split_case": _S + f" select distinct name, {_split('name')} as parts from sym",
     "fn_strip_generics": _S + " select distinct signature, regexp_replace(signature, '<[^>]*>', '', 'g') as bare from sym where signature is not null",

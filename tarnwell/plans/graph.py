@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar as fn
 from ..operators import graph as op
+from ..operators.skew import salted_join
 from . import base
 
 KINDS = ["function", "method", "class", "interface", "variable", "type"]
@@ -131,7 +132,7 @@ QUERIES = {
     "g_package_consumers": lambda s, d: base.edges(s, d).where(F.col("to_id").startswith("npm:")).groupBy(F.col("to_id").alias("package")).agg(F.countDistinct("repo_id").alias("n_repos"), F.count(F.lit(1)).alias("n_edges")),
     "sink_dedup_edges": lambda s, d: op.dedupe_resolved(base.edges(s, d)),
     "sink_prune_orphans": lambda s, d: base.edges(s, d).where(~F.col("from_id").startswith("callee:")).join(base.symbols(s, d).select("repo_id", F.col("symbol_id").alias("from_id")), ["repo_id", "from_id"], "left_anti").select("edge_id"),
-    "sink_prune_dangling": lambda s, d: _resolved(s, d).join(base.symbols(s, d).select("repo_id", F.col("symbol_id").alias("to_id")), ["repo_id", "to_id"], "left_anti").select("edge_id"),
+    "sink_prune_dangling": lambda s, d: salted_join(_resolved(s, d).select("repo_id", "to_id", "edge_id"), base.symbols(s, d).select("repo_id", F.col("symbol_id").alias("to_id")), ["repo_id", "to_id"], "left_anti", spread=F.col("edge_id")).select("edge_id"),
     "sink_prune_files": lambda s, d: base.symbols(s, d).join(base.files(s, d).select("repo_id", F.col("path").alias("file_path")), ["repo_id", "file_path"], "left_anti").select("repo_id", "symbol_id"),
     "sink_replace_file": lambda s, d: (lambda y: y.where("file_path not like '%.sql'").select("repo_id", "symbol_id", "name").unionByName(y.where("file_path like '%.sql'").select("repo_id", "symbol_id", F.upper("name").alias("name"))))(base.symbols(s, d)),
     "sink_purge_repo": lambda s, d: base.edges(s, d).select("repo_id", F.lit("edges").alias("t")).unionAll(base.symbols(s, d).select("repo_id", F.lit("symbols").alias("t"))).where("repo_id = 'onyx-docs'").groupBy("t").agg(F.count(F.lit(1)).alias("n")),
@@ -156,7 +157,6 @@ QUERIES = {
 _B = "with " + base.SYM
 _EP = _B + """, ep as (select e.*, a.name as source_name, a.file_path as source_file, b.name as target_name, b.file_path as target_file
     from edges e left join sym a on a.repo_id = e.repo_id and a.symbol_id = e.from_id left join sym b on b.repo_id = e.repo_id and b.symbol_id = e.to_id)"""
-_T = r"regexp_matches({p}, '(?i)(^|/)(__tests__|tests?)/|\.(test|spec)\.[a-z]+$|(^|/)test_[^/]*\.py$|_test\.py$|Tests\.cs$')"
 _TOK = "contains(to_id, ':')"
 _PAIRS = _B + """, s as (select y.repo_id, y.symbol_id, y.name, y.kind, p.name as owner from sym y left join sym p on p.repo_id = y.repo_id and p.symbol_id = y.parent_symbol_id),
     pairs as (
@@ -172,7 +172,7 @@ _IMPACT = _PAIRS + """, imp as (select p.repo_id, t.file_path as target_file, c.
     where t.file_path <> c.file_path group by 1, 2, 3)"""
 _REL = """rel as (select repo_id, count(*) as n, coalesce(median(confidence) filter (confidence <> 0.8), 1.0) as med, count(*) filter (confidence < 0.75 and confidence <> 0.8) as low, avg(contains(to_id, ':')::int) as unr from edges group by 1)"""
 _USED = "used as (select distinct repo_id, to_id from edges where type in ('CALLS', 'TYPE_REF', 'IMPORTS', 'PUBLISHES', 'USES_COMPONENT'))"
-_DEAD = _B + ", " + _USED + ", dead as (select repo_id, symbol_id, name, file_path, kind from sym s where not " + _T.format(p="file_path") + " and name not like '\\_%' escape '\\' and coalesce(signature, '') not like 'private %' and name not in ('constructor', 'toString', 'main', 'index', 'get', 'set')" + "".join(f" and not exists (select 1 from used u where u.repo_id = s.repo_id and u.to_id = {k})" for k in ("s.symbol_id", "'callee:' || s.name", "'type:' || s.name", "'import:' || s.name", "'component:' || s.name")) + ")"
+_DEAD = _B + ", " + _USED + ", dead as (select repo_id, symbol_id, name, file_path, kind from sym s where not " + base.test_sql("file_path") + " and name not like '\\_%' escape '\\' and coalesce(signature, '') not like 'private %' and name not in ('constructor', 'toString', 'main', 'index', 'get', 'set')" + "".join(f" and not exists (select 1 from used u where u.repo_id = s.repo_id and u.to_id = {k})" for k in ("s.symbol_id", "'callee:' || s.name", "'type:' || s.name", "'import:' || s.name", "'component:' || s.name")) + ")"
 _RES = "res as (select distinct repo_id, from_id, to_id from edges where not contains(to_id, ':') and type in ('CALLS', 'PUBLISHES', 'USES_COMPONENT', 'USES_CSS_VAR', 'USES_CSS_CLASS', 'SQL_USES', 'SQL_REFERENCES', 'SQL_GRANT', 'SQL_QUERY'))"
 
 
@@ -200,7 +200,7 @@ SQL = {
     "flt_repo_scope": "select edge_id from edges where repo_id = 'wharf-core'",
     "flt_kind_lang_path": _B + ", " + base.FIL + " select repo_id, symbol_id from sym s where kind = 'class' and contains(file_path, 'src/') and exists (select 1 from fil f where f.repo_id = s.repo_id and f.path = s.file_path and language = 'csharp')",
     "flt_path_prefix": _B + " select repo_id, symbol_id from sym where file_path like 'packages/ledger%'",
-    "flt_exclude_tests": _EP + " select edge_id from ep where target_file is null or not " + _T.format(p="target_file"),
+    "flt_exclude_tests": _EP + " select edge_id from ep where target_file is null or not " + base.test_sql("target_file"),
     "flt_resolved_target": f"select edge_id from edges where not {_TOK}",
     "flt_private": _B + " select repo_id, symbol_id from sym where name not like '\\_%' escape '\\' and coalesce(signature, '') not like 'private %'",
     "flt_canonical_path": "with " + base.FIL + " select repo_id, lower(path) as asked, min(path) as path from fil group by 1, 2",
@@ -215,7 +215,7 @@ SQL = {
     "agg_edge_provenance": "select repo_id, count(*) as n, count(*) filter (contains(reason, 'name')) as by_name, min(confidence) as least from edges group by 1",
     "agg_blank_zones": _B + ", f as (select repo_id, file_path, count(*) = 1 and max(kind) = 'module' as b from sym group by 1, 2), r as (select repo_id, round(avg(b::int), 6) as ratio from f group by 1) select repo_id, ratio, case when ratio <= 0.4 then 'PASS' when ratio <= 0.7 then 'WARN' else 'FAIL' end as verdict from r",
     "g_dependencies": _EP + " select repo_id, edge_id, source_name, to_id, target_name from ep where type in ('IMPORTS', 'DEPENDS_ON')",
-    "g_call_edges": _EP + " select repo_id, edge_id, from_id, to_id, source_name, target_name from ep where type in ('CALLS', 'PUBLISHES', 'USES_COMPONENT', 'USES_CSS_VAR', 'USES_CSS_CLASS', 'SQL_USES', 'SQL_REFERENCES', 'SQL_GRANT', 'SQL_QUERY') and (target_file is null or not " + _T.format(p="target_file") + ")",
+    "g_call_edges": _EP + " select repo_id, edge_id, from_id, to_id, source_name, target_name from ep where type in ('CALLS', 'PUBLISHES', 'USES_COMPONENT', 'USES_CSS_VAR', 'USES_CSS_CLASS', 'SQL_USES', 'SQL_REFERENCES', 'SQL_GRANT', 'SQL_QUERY') and (target_file is null or not " + base.test_sql("target_file") + ")",
     "g_module_flow": _EP + " select repo_id, source_file, to_id, type, min(edge_id) as edge_id, count(*) as n from ep where source_file is not null and source_file is distinct from target_file group by 1, 2, 3, 4",
     "g_trace_flow": _REC + _walk("from_id", "to_id", 3),
     "g_change_context": _REC + _walk("to_id", "from_id", 2),

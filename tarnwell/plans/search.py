@@ -171,8 +171,8 @@ def _bm25(qs: list[str], prefix: bool = False) -> str:
 
 
 _CT = "greatest(0.0, least(1.0, base - least(rn * 0.01, 0.2)))"
-_CAND = _S + r""", b as (select repo_id, symbol_id, name, (case when lower(name) = 'walker' then 0.96 when lower(name) like 'walker%' then 0.88 when lower(name) like '%walker%' then 0.72 end + case when kind in ('class', 'interface', 'function', 'method') then 0.03 else 0.0 end - case when regexp_matches(file_path, '(?i)(^|/)(__tests__|tests?)/|\.(test|spec)\.[a-z]+$|(^|/)test_[^/]*\.py$|_test\.py$|Tests\.cs$') then 0.08 else 0.0 end)::double as base from sym where lower(name) like '%walker%'),
-    c as (select *, row_number() over (partition by repo_id order by base desc, length(name), name, symbol_id) - 1 as rn from b)"""
+_CAND = _S + r""", b as (select repo_id, symbol_id, name, (case when lower(name) = 'walker' then 0.96 when lower(name) like 'walker%' then 0.88 when lower(name) like '%walker%' then 0.72 end + case when kind in ('class', 'interface', 'function', 'method') then 0.03 else 0.0 end - case when TESTSQL then 0.08 else 0.0 end)::double as base from sym where lower(name) like '%walker%'),
+    c as (select *, row_number() over (partition by repo_id order by base desc, length(name), name, symbol_id) - 1 as rn from b)""".replace("TESTSQL", base.test_sql("file_path"))
 _KNN = "with q as (select vec_id as query_id, embedding as e from embeddings where vec_id % 50 = 0), x as (select query_id, vec_id, sqrt(list_sum(list_transform(list_zip(embedding, e), lambda p: (p[1]::double - p[2]::double) ** 2))) as distance from q, embeddings where vec_id <> query_id)"
 
 _DEF = "with a as (select distinct id, ts, lower(target_table) as key, statement_type, sql_hash from audit_log where target_table is not null), l as (select key, sql_hash as definition, case when statement_type = 'DROP' then 'dropped' else 'current' end as state from a qualify row_number() over (partition by key order by ts desc, id desc) = 1)"
