@@ -100,7 +100,6 @@ QUERIES = {
     "g_sql_drop_state": lambda s, d: _definitions(s, d).groupBy("state").agg(F.count(F.lit(1)).alias("n")),
     "win_predecessor": lambda s, d: table(s, d, "ddl_history").where("version is not null").select("environment", "version").distinct().withColumn("before", F.lag("version").over(Window.partitionBy("environment").orderBy("version"))),
     "win_position_penalty": lambda s, d: search.symbol_candidates(base.symbols(s, d), "trace"),
-    "r_interface_dispatch": lambda s, d: base.edges(s, d).where("type = 'CALLS'").join(graph.interface_siblings(base.symbols(s, d), base.edges(s, d), 10).select("repo_id", F.col("symbol_id").alias("to_id"), "sibling_id"), ["repo_id", "to_id"]).select("repo_id", "from_id", F.col("sibling_id").alias("to_id"), F.lit(0.7).alias("confidence")).distinct(),
     "r_cross_repo": lambda s, d: resolve.cross_repo(base.edges(s, d), base.symbols(s, d)),
     "r_edge_policy": lambda s, d: graph.cap_per_group(base.edges(s, d).where("type = 'CALLS' and confidence >= 0.4"), ["repo_id", "from_id"], "edge_id", 12).select("edge_id"),
     "r_mentions": _bound,
@@ -111,11 +110,9 @@ QUERIES = {
     "x_imported_files": lambda s, d: resolve.imported_files(base.edges(s, d), base.symbols(s, d)),
     "x_py_protocol": _covering,
     "x_class_bases": lambda s, d: resolve.class_bases(base.edges(s, d)),
-    "x_suppress_bare": lambda s, d: (lambda e: e.where("reason = 'name_resolved'").join(e.where("reason = 'resolved call edge'").select("repo_id", "from_id").distinct(), ["repo_id", "from_id"], "left_semi").select("edge_id", F.lit(0.1).alias("confidence")))(base.edges(s, d).where("type = 'CALLS'")),
     "jn_cross_affinity": _affinity,
     "g_link_tests": lambda s, d: _affinity(s, d).groupBy("repo_id", "test").agg(F.min(F.struct((-F.col("score")).alias("s"), "source")).alias("b")).select("repo_id", "test", "b.source", (-F.col("b.s")).alias("score")),
     "g_endpoint_match": lambda s, d: (lambda r, c: resolve.endpoint_match(c, r))(*_routes(s, d)),
-    "g_value_contract": lambda s, d: search.search_lines(table(s, d, "file_contents").withColumn("k", F.concat_ws(":", "repo_id", "path")), r"'(anchor|beacon|broker|bucket)'", "k", "content").withColumn("role", F.when(F.col("n_hits") > 1, "unknown").otherwise("consumer")).groupBy("first", "role").agg(F.count(F.lit(1)).alias("n")),
     "fts_rank": lambda s, d: search.bm25(_docs(s, d), ["registry", "planner", "timeouts"]).select("doc_id", "score"),
     "fts_query_intent": lambda s, d: search.bm25(_docs(s, d), ["regis", "plan"], prefix=True).select("doc_id", "n_terms"),
     "fts_query_name": lambda s, d: search.symbol_search(base.symbols(s, d), ["sampler", "tr"]),
@@ -197,7 +194,6 @@ SQL = {
     "r_edge_policy": "select edge_id from edges where type = 'CALLS' and confidence >= 0.4 qualify row_number() over (partition by repo_id, from_id order by edge_id) <= 12",
     "x_imported_files": _S + " select distinct e.repo_id, a.file_path as source_file, b.file_path as target_file from edges e join sym a on a.repo_id = e.repo_id and a.symbol_id = e.from_id join sym b on b.repo_id = e.repo_id and b.symbol_id = e.to_id where e.type = 'IMPORTS'",
     "x_class_bases": "select repo_id, from_id as class_id, arg_min(to_id, edge_id) as base_id from edges where type = 'EXTENDS' group by 1, 2",
-    "x_suppress_bare": "select edge_id, 0.1::double as confidence from edges e where type = 'CALLS' and reason = 'name_resolved' and exists (select 1 from edges q where q.repo_id = e.repo_id and q.from_id = e.from_id and q.type = 'CALLS' and q.reason = 'resolved call edge')",
     "x_py_protocol": _S + ", m as (select y.repo_id || '/' || y.parent_symbol_id as o, y.repo_id || '/' || y.name as member, p.kind from sym y join sym p on p.repo_id = y.repo_id and p.symbol_id = y.parent_symbol_id where y.kind = 'method'), r as (select distinct o as owner, member from m where kind = 'interface'), t as (select distinct o as taker, member from m where kind = 'class'), need as (select owner, count(*) as need from r group by 1) select owner, taker from (select owner, taker, count(*) as got from r join t using (member) group by 1, 2) join need using (owner) where got = need and owner <> taker",
     "fts_rank": _bm25(["registry", "planner", "timeouts"]) + " select doc_id, score from sc",
     "fts_query_intent": _bm25(["regis", "plan"], True) + " select doc_id, n_terms from sc",
