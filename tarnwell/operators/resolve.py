@@ -85,7 +85,7 @@ def cross_repo(edges: DataFrame, symbols: DataFrame) -> DataFrame:
 
 def mentions(documents: DataFrame) -> DataFrame:
     """(doc_id, repo_id, mention): identifiers in inline code, and camel or snake names, each once a document."""
-    found = F.array_union(F.transform(F.regexp_extract_all("text", F.lit(r"`([A-Za-z_][\w.]{2,60})`"), 1), lambda x: x), F.regexp_extract_all("text", F.lit(r"\b([a-z]+(?:[A-Z][a-z]+)+|[A-Z][a-z]+(?:[A-Z][a-z]+)+|[a-z]+(?:_[a-z]+)+)\b"), 1))
+    found = F.array_union(F.transform(F.regexp_extract_all("text", F.lit(r"`([A-Za-z_][\w.]{2,})`"), 1), lambda x: x), F.regexp_extract_all("text", F.lit(r"\b([a-z]+(?:[A-Z][a-z]+)+|[A-Z][a-z]+(?:[A-Z][a-z]+)+|[a-z]+(?:_[a-z]+)+)\b"), 1))
     return documents.where("text is not null").select("doc_id", "repo_id", F.explode(F.array_distinct(found)).alias("mention"))
 
 

@@ -55,6 +55,20 @@ def search_lines(docs: DataFrame, pattern: str, key: str, text: str, per_file: i
     return r if per_file <= 0 else r.withColumn("rn", F.row_number().over(Window.partitionBy(key).orderBy("line"))).where(F.col("rn") <= per_file).drop("rn")
 
 
+def search_matches(docs: DataFrame, pattern: str, key: str, text: str) -> DataFrame:
+    """(key, line, match): every match of a regular expression within a line, lines numbered from 1; whole texts."""
+    lines = docs.where(F.col(text).isNotNull()).select(key, F.posexplode(F.split(F.col(text), "\r?\n")).alias("p", "l")).where(F.col("l").rlike(pattern))
+    return lines.select(key, (F.col("p") + 1).alias("line"), F.explode(F.regexp_extract_all("l", F.lit(pattern), F.lit(0))).alias("match"))
+
+
+def after_path(found: DataFrame, path: str, skip: int, most: int) -> DataFrame:
+    """(path, line, n_hits, truncated) of search_lines() by path: the page of rows from path on, without its first skip
+    rows; truncated says whether more follow."""
+    rows = found.where(F.col("path") >= path).orderBy("path", "line").offset(skip).limit(most + 1)
+    rows = rows.withColumn("rn", F.row_number().over(Window.orderBy("path", "line")))  # a page, most + 1 rows at most
+    return rows.withColumn("truncated", F.max("rn").over(Window.partitionBy(F.lit(1))) > most).where(F.col("rn") <= most).drop("rn")
+
+
 def symbol_candidates(symbols: DataFrame, name: str) -> DataFrame:
     """(repo_id, symbol_id, confidence): exact .96, prefix .88, contained .72; types and functions +.03, tests -.08; then
     less 0.01 a rank, 0.2 at most; within 0 and 1."""

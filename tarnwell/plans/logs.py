@@ -118,8 +118,7 @@ SQL = {
     "prj_columns": "select event_id as id, event_type as severity from events",
     "prj_pick": _L + " select id, coalesce(nullif(app, ''), service_name) as name from nm",
     "prj_service_identity": _L + " select id, service from nm",
-    "prj_shape_profile": """with x as (select doc_id, substr(text, 1, 40) as m, case when doc_id % 2 = 0 then text end as e from documents),
-        y as (select doc_id, m, case when length(e) > 60 then substr(e, 1, 60) || '…[+' || (length(e) - 60) || ' chars]' else e end as exception from x)
+    "prj_shape_profile": """with y as (select doc_id, text as m, case when length(text) > 60 then substr(text, 1, 60) || '…[+' || (length(text) - 60) || ' chars]' else text end as exception from documents)
         select doc_id, case when strpos(coalesce(exception, ''), m) > 0 then null when length(m) > 30 then substr(m, 1, 30) || '…[+' || (length(m) - 30) || ' chars]' else m end as message, exception from y""",
     "jn_lanes": "with a as (select distinct environment as service from ddl_history), b as (select distinct environment as service from audit_log where tool = 'ddl_apply' and status = 'failed') select coalesce(a.service, b.service) as service, concat_ws(',', case when a.service is not null then 'logs' end, case when b.service is not null then 'traces' end) as lanes from a full join b on a.service = b.service",
     "x_trace_spans": "select id, tool as service, status from audit_log where sql_hash = '8b603f72745103fe'",

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar as fn
 from ..operators import graph, resolve, search
+from ..sources import files as src
 from ..sources.tables import table
 from . import base
 
@@ -37,7 +38,7 @@ def _drift(s, d):
 
 
 def _headings(s, d):
-    return search.search_lines(_docs(s, d), "^## .*", "doc_id", "text").select("doc_id", F.substring("first", 4, 200).alias("heading"))
+    return src.markdown_sections(_docs(s, d), "doc_id", "text").select("doc_id", "heading")
 
 
 def _behind(s, d):
@@ -106,7 +107,7 @@ QUERIES = {
     "r_drift": _drift,
     "r_stale_docs": lambda s, d: _bound(s, d).where("status <> 'unbound'").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("status") == "ambiguous").alias("n_ambiguous")),
     "r_docs_behind_code": _behind,
-    "r_citations": lambda s, d: search.search_lines(_docs(s, d), r"GX-\d+", "doc_id", "text").groupBy(F.col("first").alias("target")).agg(F.countDistinct("doc_id").alias("n_docs")),
+    "r_citations": lambda s, d: search.search_matches(_docs(s, d), r"GX-\d+", "doc_id", "text").groupBy(F.col("match").alias("target")).agg(F.countDistinct("doc_id").alias("n_docs")),
     "x_imported_files": lambda s, d: resolve.imported_files(base.edges(s, d), base.symbols(s, d)),
     "x_py_protocol": _covering,
     "x_class_bases": lambda s, d: resolve.class_bases(base.edges(s, d)),
@@ -129,10 +130,11 @@ QUERIES = {
     "intent_classifier": lambda s, d: search.intent(_docs(s, d), {"limit": ["limit", "kilobytes"], "outage": ["timeouts", "paged", "lost"], "rename": ["renames", "moved"]}),
     "agg_doc_language": lambda s, d: _docs(s, d).select("doc_id", F.posexplode(F.split("text", "\n\n")).alias("p", "c")).select("doc_id", fn.non_ascii_letters(F.col("c")).alias("n"), F.regexp_count("c", F.lit(r"\p{L}")).alias("l")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("chunks"), F.count_if((F.col("l") > 0) & (F.col("n") / F.col("l") >= 0.02)).alias("flagged")),
     "agg_doc_coverage": lambda s, d: base.symbols(s, d).join(_bound(s, d).where("status = 'bound'").join(_docs(s, d).select("doc_id", "repo_id"), "doc_id").groupBy("repo_id", "symbol_id").agg(F.countDistinct("doc_id").alias("n")), ["repo_id", "symbol_id"], "left").groupBy("repo_id").agg(F.count(F.lit(1)).alias("n_symbols"), F.count_if(F.col("n") > 0).alias("documented")),
+    "x_ambiguous_count": lambda s, d: _bound(s, d).join(_docs(s, d).select("doc_id", "repo_id").dropDuplicates(["doc_id"]), "doc_id").groupBy("repo_id").agg(F.count_if(F.col("status") == "ambiguous").alias("n_ambiguous"), F.count(F.lit(1)).alias("n")),
     "agg_stale_groups": lambda s, d: _bound(s, d).where("status = 'ambiguous'").groupBy("mention").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("doc_id").alias("n_docs"), F.max("n_candidates").alias("most")),
-    "agg_citation_counts": lambda s, d: search.search_lines(_docs(s, d), r"GX-\d+|src/[\w/.]+", "doc_id", "text").groupBy(F.when(F.col("first").startswith("GX"), "issue").otherwise("path").alias("kind")).agg(F.count(F.lit(1)).alias("n")),
+    "agg_citation_counts": lambda s, d: search.search_matches(_docs(s, d), r"GX-\d+|src/[\w/.]+", "doc_id", "text").groupBy(F.when(F.col("match").startswith("GX"), "issue").otherwise("path").alias("kind")).agg(F.count(F.lit(1)).alias("n")),
     "agg_suggestions": lambda s, d: base.symbols(s, d).select("name").distinct().withColumn("hits", F.size(F.array_intersect(fn.tokens(F.col("name")), F.array(F.lit("walker"), F.lit("trace"), F.lit("lookup"))))).where("hits > 0").orderBy(F.desc("hits"), F.length("name"), "name").limit(10),
-    "agg_doc_links": lambda s, d: search.search_lines(_docs(s, d), r"src/[a-z_]+/\w+\.\w+", "doc_id", "text").groupBy(F.col("first").alias("path")).agg(F.countDistinct("doc_id").alias("n_docs")),
+    "agg_doc_links": lambda s, d: search.search_matches(_docs(s, d), r"src/[a-z_]+/\w+\.\w+", "doc_id", "text").groupBy(F.col("match").alias("path")).agg(F.countDistinct("doc_id").alias("n_docs")),
 }
 
 _S = "with " + base.SYM
@@ -174,10 +176,26 @@ _KNN = "with q as (select vec_id as query_id, embedding as e from embeddings whe
 
 _DEF = "with a as (select distinct id, ts, lower(target_table) as key, statement_type, sql_hash from audit_log where target_table is not null), l as (select key, sql_hash as definition, case when statement_type = 'DROP' then 'dropped' else 'current' end as state from a qualify row_number() over (partition by key order by ts desc, id desc) = 1)"
 
+_MEN = _S + r""", d1 as (select doc_id, first(repo_id) as repo_id, first(text) as text from documents where text is not null group by doc_id),
+    men as (select distinct doc_id, repo_id, mention from (
+        select doc_id, repo_id, unnest(regexp_extract_all(text, '`([A-Za-z_][\w.]{2,})`', 1)) as mention from d1 union all
+        select doc_id, repo_id, unnest(regexp_extract_all(text, '\b([a-z]+(?:[A-Z][a-z]+)+|[A-Z][a-z]+(?:[A-Z][a-z]+)+|[a-z]+(?:_[a-z]+)+)\b', 1)) from d1)),
+    grade as (select repo_id, name, lower(name) as low, symbol_id, case when TESTSQL then 1 else 0 end as test,
+        case kind when 'method' then 0 when 'function' then 1 when 'constructor' then 2 when 'class' then 3 when 'interface' then 4 when 'struct' then 5 when 'record' then 6 when 'property' then 7 when 'variable' then 8 else 999 end as rank from sym),
+    keys as (select distinct repo_id, mention from men),
+    hit as (select k.repo_id, k.mention, g.symbol_id, min({'t': case when g.name = k.mention then 0 else 1 end, 'e': test, 'r': rank}) as grade from keys k join grade g on g.repo_id = k.repo_id and g.low = lower(k.mention) group by 1, 2, 3),
+    top as (select * from hit qualify grade = min(grade) over (partition by repo_id, mention)),
+    cnt as (select repo_id, mention, count(distinct symbol_id) as n, min(symbol_id) as first from top group by 1, 2),
+    bound as (select m.doc_id, m.repo_id, m.mention, case when n is null then 'unbound' when n = 1 then 'bound' else 'ambiguous' end as status, case when n = 1 then first end as symbol_id, coalesce(n, 0) as n_candidates
+        from men m left join cnt c on c.repo_id = m.repo_id and c.mention = m.mention)""".replace("TESTSQL", base.test_sql("file_path"))
+
 SQL = {
+    "r_mentions": _MEN + " select doc_id, mention, status, symbol_id, n_candidates from bound",
+    "r_stale_docs": _MEN + " select doc_id, count(*) as n, count(*) filter (status = 'ambiguous') as n_ambiguous from bound where status <> 'unbound' group by 1",
+    "x_ambiguous_count": _MEN + " select repo_id, count(*) filter (status = 'ambiguous') as n_ambiguous, count(*) as n from bound group by 1",
+    "agg_stale_groups": _MEN + " select mention, count(*) as n, count(distinct doc_id) as n_docs, max(n_candidates) as most from bound where status = 'ambiguous' group by 1",
     "r_packages": _S + ", m as (select name, arg_min(symbol_id, {'r': repo_id, 's': symbol_id}) as symbol_id from sym where kind = 'module' group by 1) select edge_id, m.symbol_id from edges join m on to_id in ('npm:' || m.name, 'nuget:' || m.name)",
-    "r_publish_consume": "select distinct a.to_id as contract, a.from_id as producer, b.from_id as consumer from edges a join edges b on a.to_id = b.to_id where a.to_id = 'npm:react' and b.type = 'DEPENDS_ON' and b.to_id <> 'npm:react'",
-    "x_python_mro": "with recursive one as (select repo_id, from_id as class_id, arg_min(to_id, edge_id) as base_id from edges where type = 'EXTENDS' group by 1, 2), w as (select repo_id, class_id, base_id, 1 as level from one union all select w.repo_id, w.class_id, o.base_id, w.level + 1 from w join one o on o.repo_id = w.repo_id and o.class_id = w.base_id where w.level < 4 and o.base_id <> w.class_id) select repo_id, class_id, base_id, min(level) as level from w group by 1, 2, 3",
+    "r_publish_consume": "with d as (select *, edge_id % 4 = 0 as pub from edges where type = 'DEPENDS_ON') select distinct a.to_id as contract, a.from_id as producer, b.from_id as consumer from d a join d b on a.to_id = b.to_id where a.pub and not b.pub and a.from_id <> b.from_id",
     "win_current_definition": _DEF + " select key, definition, state from l",
     "g_sql_drop_state": _DEF + " select state, count(*) as n from l group by 1",
     "win_predecessor": "select environment, version, lag(version) over (partition by environment order by version) as before from (select distinct environment, version from ddl_history where version is not null)",
@@ -193,7 +211,7 @@ SQL = {
     "r_cross_repo": _S + ", size as (select repo_id, count(*) as n from sym group by 1), best as (select s.symbol_id as to_id, s.repo_id as to_repo from sym s join size z using (repo_id) qualify row_number() over (partition by s.symbol_id order by n desc, s.repo_id desc) = 1) select e.edge_id, b.to_repo from edges e join best b on b.to_id = e.to_id where not contains(e.to_id, ':') and not exists (select 1 from sym s where s.repo_id = e.repo_id and s.symbol_id = e.to_id)",
     "r_edge_policy": "select edge_id from edges where type = 'CALLS' and confidence >= 0.4 qualify row_number() over (partition by repo_id, from_id order by edge_id) <= 12",
     "x_imported_files": _S + " select distinct e.repo_id, a.file_path as source_file, b.file_path as target_file from edges e join sym a on a.repo_id = e.repo_id and a.symbol_id = e.from_id join sym b on b.repo_id = e.repo_id and b.symbol_id = e.to_id where e.type = 'IMPORTS'",
-    "x_class_bases": "select repo_id, from_id as class_id, arg_min(to_id, edge_id) as base_id from edges where type = 'EXTENDS' group by 1, 2",
+    "x_class_bases": "with o as (select repo_id, from_id as class_id, to_id as base_id, min(edge_id) as e from edges where type = 'EXTENDS' group by 1, 2, 3) select repo_id, class_id, base_id, row_number() over (partition by repo_id, class_id order by e, base_id) as position from o",
     "x_py_protocol": _S + ", m as (select y.repo_id || '/' || y.parent_symbol_id as o, y.repo_id || '/' || y.name as member, p.kind from sym y join sym p on p.repo_id = y.repo_id and p.symbol_id = y.parent_symbol_id where y.kind = 'method'), r as (select distinct o as owner, member from m where kind = 'interface'), t as (select distinct o as taker, member from m where kind = 'class'), need as (select owner, count(*) as need from r group by 1) select owner, taker from (select owner, taker, count(*) as got from r join t using (member) group by 1, 2) join need using (owner) where got = need and owner <> taker",
     "fts_rank": _bm25(["registry", "planner", "timeouts"]) + " select doc_id, score from sc",
     "fts_query_intent": _bm25(["regis", "plan"], True) + " select doc_id, n_terms from sc",
@@ -203,8 +221,9 @@ SQL = {
     "search_literals": "select repo_id, path from file_contents where contains(content, '''it\\''s {''')",
     "search_regex": r"with l as (select doc_id, unnest(string_split_regex(text, '\r?\n')) as l, generate_subscripts(string_split_regex(text, '\r?\n'), 1) as line from documents) select doc_id, line, len(regexp_extract_all(l, 'GX-[0-9]{4}')) as n_hits, regexp_extract(l, 'GX-[0-9]{4}') as first from l where regexp_matches(l, 'GX-[0-9]{4}') qualify row_number() over (partition by doc_id order by line) <= 3",
     "win_per_file_cap": r"with l as (select doc_id, unnest(string_split_regex(text, '\r?\n')) as l, generate_subscripts(string_split_regex(text, '\r?\n'), 1) as line from documents) select doc_id, min(line) as line from l where contains(l, 'harbor') group by 1",
-    "r_citations": r"with l as (select doc_id, unnest(string_split_regex(text, '\r?\n')) as l from documents) select regexp_extract(l, 'GX-\d+') as target, count(distinct doc_id) as n_docs from l where regexp_matches(l, 'GX-\d+') group by 1",
-    "agg_doc_links": r"with l as (select doc_id, unnest(string_split_regex(text, '\r?\n')) as l from documents) select regexp_extract(l, 'src/[a-z_]+/\w+\.\w+') as path, count(distinct doc_id) as n_docs from l where regexp_matches(l, 'src/[a-z_]+/\w+\.\w+') group by 1",
+    "r_citations": r"with m as (select doc_id, unnest(regexp_extract_all(text, 'GX-\d+')) as target from documents) select target, count(distinct doc_id) as n_docs from m group by 1",
+    "agg_citation_counts": r"with m as (select unnest(regexp_extract_all(text, 'GX-\d+|src/[\w/.]+')) as x from documents) select case when starts_with(x, 'GX') then 'issue' else 'path' end as kind, count(*) as n from m group by 1",
+    "agg_doc_links": r"with m as (select doc_id, unnest(regexp_extract_all(text, 'src/[a-z_]+/\w+\.\w+')) as path from documents) select path, count(distinct doc_id) as n_docs from m group by 1",
     "vector_knn": _KNN + " select query_id, vec_id, round(distance, 5) as distance, row_number() over (partition by query_id order by distance, vec_id) as rank from x qualify rank <= 5",
     "topk_knn_ties": _KNN + " select query_id, vec_id from x qualify row_number() over (partition by query_id order by distance, vec_id) = 1",
 }

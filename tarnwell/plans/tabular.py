@@ -112,7 +112,7 @@ SQL = {
     "x_external_ledger": "select distinct substr(version, 1, 4) as year, version, checksum from ddl_history where kind = 'adopted' and version is not null",
     "x_recent_runs": "select id, status from (select distinct * from ddl_history) order by applied_at desc, id desc limit 20",
     "x_last_work": "select environment, arg_max(id, {'a': applied_at, 'i': id}) as id from ddl_history where statement_count > 0 group by 1",
-    "sql_ms_fanout": "select direction, count(*) as n, environment as _catalog from (select distinct * from ddl_history) where environment in ('dev', 'qa', 'prod') group by 1, 3",
+    "sql_ms_fanout": "select direction, count(*) as n, environment as _catalog from (select distinct * from ddl_history) group by 1, 3",
     "agg_crossdb_targets": "with k as (select distinct lower(split_part(target_table, '.', 1)) as db from audit_log where statement_type = 'CREATE' and target_table is not null) select lower(split_part(target_table, '.', 1)) as db, count(*) as n_refs, count(distinct lower(target_table)) as n_objects, lower(split_part(target_table, '.', 1)) in (select db from k) as is_known from audit_log where target_table is not null group by 1",
 }
 _PROFILED = "id version name kind direction checksum up_checksum execution_mode status statement_count failed_statement error_sqlstate environment applied_by preview_id duration_ms applied_at".split()

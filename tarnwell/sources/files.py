@@ -119,5 +119,5 @@ DECLARATIONS = {
 
 def literals(contents: DataFrame) -> DataFrame:
     """(repo_id, path, value, n): quoted strings of one line."""
-    found = F.regexp_extract_all("content", F.lit(r"(?m)\"((?:[^\"\\\n]|\\.){1,200})\""), F.lit(1))
+    found = F.regexp_extract_all("content", F.lit(r"(?m)\"((?:[^\"\\\n]|\\.)+)\""), F.lit(1))
     return contents.where("content is not null").select("repo_id", "path", F.explode(found).alias("value")).groupBy("repo_id", "path", "value").agg(F.count(F.lit(1)).alias("n"))
