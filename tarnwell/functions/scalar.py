@@ -53,6 +53,15 @@ def tokens(x: Column) -> Column:
     return F.array_distinct(F.filter(F.split(F.lower(split_case(x)), r"[^\p{L}\p{N}]+"), lambda t: F.length(t) >= 2))
 
 
+# Words that say little about what a name means.
+COMMON_WORDS = "get set the and for new test tests index main spec".split()
+
+
+def distinctive_tokens(x: Column) -> Column:
+    """tokens() of three characters or more that are not COMMON_WORDS."""
+    return F.filter(tokens(x), lambda t: (F.length(t) >= 3) & ~t.isin(*COMMON_WORDS))
+
+
 def intent_tokens(x: Column, most: int = 12) -> Column:
     """Whole words, then their case and snake parts, each once, at most that many."""
     words = F.filter(F.split(F.lower(x), r"[^\p{L}\p{N}_]+"), lambda t: F.length(t) >= 2)

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalar import dice, is_test_path, tokens
+from ..functions.scalar import dice, is_test_path, split_case, tokens, trigram_buckets
 
 #: Usual parameters of BM25.
 K1, B = 1.2, 0.75
@@ -116,6 +116,29 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int, block: int = 4096) -> Da
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "vec_id", F.round("distance", 5).alias("distance"), "rank")
 
 
+def vector_index(names: DataFrame, key: list[str]) -> DataFrame:
+    """(key, bucket, weight) of (key, name): the trigram vectors of names, of length 1, without their zeros."""
+    n = names.select(*key, F.explode(trigram_buckets(F.lower(split_case(F.col("name"))))).alias("bucket")).groupBy(*key, "bucket").agg(F.count(F.lit(1)).alias("n"))
+    norm = n.groupBy(*key).agg(F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("norm"))
+    return n.join(norm, key).select(*key, "bucket", (F.col("n") / F.col("norm")).alias("weight"))
+
+
+def padded(found: DataFrame, names: DataFrame, asked: str, most: int, enough: int = 3) -> DataFrame:
+    """(repo_id, symbol_id, how, distance): found as it is if it has enough rows; else those of names (repo_id, symbol_id,
+    name) whose vectors are nearest to that of the word asked for are put after it (fuzzy), up to most in all; ties by
+    repository and id."""
+    n = found.count()
+    if n >= enough or n >= most:
+        return found
+    keys = ["repo_id", "symbol_id"]
+    query = vector_index(names.sparkSession.createDataFrame([(asked,)], "name string"), ["name"]).select("bucket", F.col("weight").alias("q"))
+    index = vector_index(names, keys)
+    shared = index.join(F.broadcast(query), "bucket", "left").groupBy(*keys).agg(F.sum(F.coalesce(F.col("weight") * F.col("q"), F.lit(0.0))).alias("dot"))  # query: the buckets of a word
+    near = shared.join(found.select(*keys), keys, "left_anti").withColumn("distance", F.round(F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * F.col("dot"))), 6))
+    near = near.orderBy("distance", *keys).limit(most - n)
+    return found.unionByName(near.select(*keys, F.lit("fuzzy").alias("how"), "distance"))
+
+
 def nearest_headings(headings: DataFrame, asked: str, most: int = 10) -> DataFrame:
     """(doc_id, heading, score): bigram similarity to a heading or its beginning, 0.9 at least if it is contained."""
     h, a = F.lower("heading"), F.lit(asked.lower())

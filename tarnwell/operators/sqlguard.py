@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import threading
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -134,6 +135,68 @@ def scoped_query(spark: SparkSession, tables: dict[str, DataFrame], sql: str, sc
             spark.catalog.dropTempView(view)
 
 
+def verdict(sql: str) -> str:
+    """allowed, or why check() refuses the statement."""
+    try:
+        check(sql)
+        return "allowed"
+    except Refused as e:
+        return str(e)
+
+
+def pg_read(spark: SparkSession, tables: dict[str, DataFrame], sql: str, most: int = 100, costly: int = 10 << 30) -> tuple[DataFrame, int, str | None]:
+    """(rows, bytes, warning): at most most + 1 rows of a checked statement, what its plan expects to handle, and a warning
+    if that is more than costly bytes."""
+    rows, _ = scoped_query(spark, tables, sql, "", column="", most=most)
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    scanned = [int(str(x.stats().sizeInBytes())) for x in _leaves(rows._jdf.queryExecution().optimizedPlan())]
+    size = max([size, *scanned])
+    return rows, size, f"the statement may handle {size} bytes" if size > costly else None
+
+
+def _leaves(plan) -> list:
+    found = plan.collectLeaves()
+    return [found.apply(i) for i in range(found.size())]
+
+
+def bounded(rows: DataFrame, most: int, seconds: float) -> tuple[list, str]:
+    """(rows, state): rows as they come, at most that many; state complete, capped or timed out. The job is cancelled at
+    the deadline."""
+    spark, tag = rows.sparkSession, f"bounded-{uuid.uuid4().hex}"
+    late = threading.Event()
+
+    def cancel() -> None:
+        late.set()
+        spark.interruptTag(tag)
+
+    timer = threading.Timer(seconds, cancel)
+    spark.addTag(tag)
+    timer.start()
+    try:
+        found = rows.limit(most + 1).collect()  # most + 1 rows at most
+    except Exception:
+        if late.is_set():
+            return [], "timed out"
+        raise
+    finally:
+        timer.cancel()
+        spark.removeTag(tag)
+    return found[:most], "capped" if len(found) > most else "complete"
+
+
+def resolve_catalogs(database: str | None, databases: list[str] | None, known: list[str], most: int = 10) -> list[str]:
+    """The catalogs that a request means: one of both parameters, known names only, without case, each once."""
+    if (database is None) == (databases is None):
+        raise Refused("exactly one of database and databases is needed")
+    by = {k.lower(): k for k in known}
+    asked = list(dict.fromkeys(d.lower() for d in ([database] if database is not None else databases or [])))
+    if not asked or any(d not in by for d in asked):
+        raise Refused("no such database")
+    if len(asked) > most:
+        raise Refused(f"at most {most} databases at once")
+    return [by[d] for d in asked]
+
+
 def tables_named(sql: str) -> list[str]:
     """The tables that a statement reads from or joins, without its own common table expressions."""
     text = blank(sql)[0]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from decimal import Decimal
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -131,5 +131,21 @@ def ledger_status(files: DataFrame, ledger: DataFrame) -> DataFrame:
     return x.select("version", status.alias("status"))
 
 
+def ledger_plan(status: DataFrame, target: str | None = None) -> DataFrame:
+    """(version, step, refusal, digest) of ledger_status(): the pending versions up to target in order.
+
+    refusal is the same on all steps: the worst of checksum_mismatch, missing, renamed and out_of_order at or below the
+    target, NULL if there is none. digest: SHA-256 over the versions in order, to see that a plan is still the same.
+    The ledger of one database is ordered in one task.
+    """
+    s = status.where(F.col("version") <= target) if target is not None else status
+    rank = {"checksum_mismatch": 0, "missing": 1, "renamed": 2, "out_of_order": 3}
+    worst = s.where(F.col("status").isin(*rank)).agg(F.min(F.struct(F.coalesce(*[F.when(F.col("status") == k, F.lit(v)) for k, v in rank.items()]).alias("r"), "status")).alias("w"))
+    steps = s.where("status in ('pending', 'out_of_order')").select("version")
+    whole = steps.agg(F.sha2(F.array_join(F.sort_array(F.collect_list("version")), ","), 256).alias("digest"))
+    numbered = steps.withColumn("step", F.row_number().over(Window.orderBy("version")))
+    return numbered.join(F.broadcast(worst)).join(F.broadcast(whole)).select("version", "step", F.col("w.status").alias("refusal"), "digest")
+
+
 def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), frames)

@@ -89,7 +89,7 @@ QUERIES = {
     "jn_symbol_token_pairs": _pairs,
     "jn_parent": lambda s, d: (lambda y: y.join(y.select("repo_id", F.col("symbol_id").alias("parent_symbol_id"), F.col("name").alias("parent_name")), ["repo_id", "parent_symbol_id"], "left").select("repo_id", "symbol_id", "name", "parent_name"))(base.symbols(s, d)),
     "jn_semi": lambda s, d: base.edges(s, d).join(base.symbols(s, d).where("kind = 'class'").select("repo_id", F.col("symbol_id").alias("from_id")), ["repo_id", "from_id"], "left_semi").select("edge_id"),
-    "jn_anti": lambda s, d: base.symbols(s, d).join(base.edges(s, d).select("repo_id", F.col("from_id").alias("symbol_id")).distinct(), ["repo_id", "symbol_id"], "left_anti").select("repo_id", "symbol_id"),
+    "jn_anti": lambda s, d: base.symbols(s, d).join(base.edges(s, d).select("repo_id", F.col("to_id").alias("symbol_id")).distinct(), ["repo_id", "symbol_id"], "left_anti").select("repo_id", "symbol_id"),
     "jn_asof_enclosing": _probe_ids,
     "jn_correlated_scalar": lambda s, d: base.symbols(s, d).join(base.edges(s, d).where("type = 'CALLS'").groupBy("repo_id", F.col("from_id").alias("symbol_id")).agg(F.count(F.lit(1)).alias("calls")), ["repo_id", "symbol_id"], "left").select("repo_id", "symbol_id", F.coalesce("calls", F.lit(0)).alias("calls")),
     "flt_repo_scope": lambda s, d: base.edges(s, d).where("repo_id = 'wharf-core'").select("edge_id"),
@@ -133,7 +133,7 @@ QUERIES = {
     "sink_dedup_edges": lambda s, d: op.dedupe_resolved(base.edges(s, d)),
     "sink_prune_orphans": lambda s, d: base.edges(s, d).where(~F.col("from_id").startswith("callee:")).join(base.symbols(s, d).select("repo_id", F.col("symbol_id").alias("from_id")), ["repo_id", "from_id"], "left_anti").select("edge_id"),
     "sink_prune_dangling": lambda s, d: salted_join(_resolved(s, d).select("repo_id", "to_id", "edge_id"), base.symbols(s, d).select("repo_id", F.col("symbol_id").alias("to_id")), ["repo_id", "to_id"], "left_anti", spread=F.col("edge_id")).select("edge_id"),
-    "sink_prune_files": lambda s, d: base.symbols(s, d).join(base.files(s, d).select("repo_id", F.col("path").alias("file_path")), ["repo_id", "file_path"], "left_anti").select("repo_id", "symbol_id"),
+    "sink_prune_files": lambda s, d: base.symbols(s, d).join(base.files(s, d).where("language is not null").select("repo_id", F.col("path").alias("file_path")), ["repo_id", "file_path"], "left_anti").select("repo_id", "symbol_id"),
     "sink_replace_file": lambda s, d: (lambda y: y.where("file_path not like '%.sql'").select("repo_id", "symbol_id", "name").unionByName(y.where("file_path like '%.sql'").select("repo_id", "symbol_id", F.upper("name").alias("name"))))(base.symbols(s, d)),
     "sink_purge_repo": lambda s, d: base.edges(s, d).select("repo_id", F.lit("edges").alias("t")).unionAll(base.symbols(s, d).select("repo_id", F.lit("symbols").alias("t"))).where("repo_id = 'onyx-docs'").groupBy("t").agg(F.count(F.lit(1)).alias("n")),
     "sink_seed_clone": lambda s, d: base.symbols(s, d).where("repo_id = 'onyx-docs'").withColumn("repo_id", F.lit("onyx-docs-2")).select("repo_id", "symbol_id", "name"),
@@ -194,7 +194,7 @@ SQL = {
     "jn_symbol_token_pairs": _PAIRS + " select * from pairs",
     "jn_parent": _B + " select y.repo_id, y.symbol_id, y.name, p.name as parent_name from sym y left join sym p on p.repo_id = y.repo_id and p.symbol_id = y.parent_symbol_id",
     "jn_semi": _B + " select edge_id from edges e where exists (select 1 from sym s where s.repo_id = e.repo_id and s.symbol_id = e.from_id and kind = 'class')",
-    "jn_anti": _B + " select repo_id, symbol_id from sym s where not exists (select 1 from edges e where e.repo_id = s.repo_id and e.from_id = s.symbol_id)",
+    "jn_anti": _B + " select repo_id, symbol_id from sym s where not exists (select 1 from edges e where e.repo_id = s.repo_id and e.to_id = s.symbol_id)",
     "jn_asof_enclosing": _B + ", p as (select distinct repo_id, file_path, end_line as line from sym where end_line is not null) select p.repo_id, p.file_path, p.line, (select arg_max(s.symbol_id, {'l': s.line, 'i': s.symbol_id}) from sym s where s.repo_id = p.repo_id and s.file_path = p.file_path and s.line <= p.line) as symbol_id from p",
     "jn_correlated_scalar": _B + " select repo_id, symbol_id, (select count(*) from edges e where e.repo_id = s.repo_id and e.from_id = s.symbol_id and e.type = 'CALLS') as calls from sym s",
     "flt_repo_scope": "select edge_id from edges where repo_id = 'wharf-core'",
@@ -235,7 +235,7 @@ SQL = {
     "sink_dedup_edges": f"select max(edge_id) as edge_id from edges where not {_TOK} group by repo_id, from_id, to_id, type, assigned_expression union all select edge_id from edges where {_TOK}",
     "sink_prune_orphans": _B + " select edge_id from edges e where from_id not like 'callee:%' and not exists (select 1 from sym s where s.repo_id = e.repo_id and s.symbol_id = e.from_id)",
     "sink_prune_dangling": _B + f" select edge_id from edges e where not {_TOK} and not exists (select 1 from sym s where s.repo_id = e.repo_id and s.symbol_id = e.to_id)",
-    "sink_prune_files": _B + ", " + base.FIL + " select repo_id, symbol_id from sym s where not exists (select 1 from fil f where f.repo_id = s.repo_id and f.path = s.file_path)",
+    "sink_prune_files": _B + ", " + base.FIL + " select repo_id, symbol_id from sym s where not exists (select 1 from fil f where f.repo_id = s.repo_id and f.path = s.file_path and f.language is not null)",
     "sink_replace_file": _B + " select repo_id, symbol_id, case when file_path like '%.sql' then upper(name) else name end as name from sym",
     "sink_purge_repo": _B + " select 'edges' as t, count(*) as n from edges where repo_id = 'onyx-docs' union all select 'symbols', count(*) from sym where repo_id = 'onyx-docs'",
     "sink_seed_clone": _B + " select 'onyx-docs-2' as repo_id, symbol_id, name from sym where repo_id = 'onyx-docs'",

@@ -79,7 +79,6 @@ QUERIES = {
     "prj_service_identity": lambda s, d: (lambda df, n: df.select("id", n.alias("service")))(*_service(s, d)),
     "prj_shape_profile": _shaped,
     "jn_lanes": lambda s, d: op.lanes(table(s, d, "ddl_history").select(F.col("environment").alias("service")), table(s, d, "audit_log").where("tool = 'ddl_apply' and status = 'failed'").select(F.col("environment").alias("service"))),
-    "x_trace_spans": lambda s, d: op.trace(_spans(s, d), "8b603f72745103fe", "start_at").select("id", "service", "status"),
     "x_log_sample": lambda s, d: _logs(s, d).orderBy(F.desc("at"), F.desc("id")).limit(50).select("id", "severity"),
     "st_tail": lambda s, d: op.tail(_logs(s, d), B, 15).select("id", "at"),
     "lim_clamp": lambda s, d: op.stats(_logs(s, d), "context", 5000),
@@ -121,7 +120,6 @@ SQL = {
     "prj_shape_profile": """with y as (select doc_id, text as m, case when length(text) > 60 then substr(text, 1, 60) || '…[+' || (length(text) - 60) || ' chars]' else text end as exception from documents)
         select doc_id, case when strpos(coalesce(exception, ''), m) > 0 then null when length(m) > 30 then substr(m, 1, 30) || '…[+' || (length(m) - 30) || ' chars]' else m end as message, exception from y""",
     "jn_lanes": "with a as (select distinct environment as service from ddl_history), b as (select distinct environment as service from audit_log where tool = 'ddl_apply' and status = 'failed') select coalesce(a.service, b.service) as service, concat_ws(',', case when a.service is not null then 'logs' end, case when b.service is not null then 'traces' end) as lanes from a full join b on a.service = b.service",
-    "x_trace_spans": "select id, tool as service, status from audit_log where sql_hash = '8b603f72745103fe'",
     "x_log_sample": "select event_id as id, event_type as severity from events order by ts desc, event_id desc limit 50",
     "st_tail": "select event_id as id, ts as at from events where ts >= '2024-01-16 23:45:00' and ts < '2024-01-17' order by ts desc, event_id desc limit 100",
     "lim_clamp": _L + " select context as key, count(*) as n from nm group by 1",

@@ -34,7 +34,6 @@ def _stream(s, d):
 
 QUERIES = {
     "src_files": lambda s, d: src.skip_tally(_contents(s, d).select("path", F.length("content").alias("length"))),
-    "src_binary_filter": lambda s, d: _contents(s, d).where(~src.is_binary(F.encode("content", "UTF-8"))).groupBy("repo_id").agg(F.count(F.lit(1)).alias("n")),
     "src_secret_filter": lambda s, d: _contents(s, d).groupBy(src.is_secret(F.col("path")).alias("secret")).agg(F.count(F.lit(1)).alias("n")),
     "src_lang_detect": lambda s, d: _contents(s, d).select("repo_id", "path", src.language(F.col("path")).alias("language")),
     "src_extract_python": lambda s, d: src.extract_python(_contents(s, d).where("path like '%.py'")),
@@ -42,9 +41,6 @@ QUERIES = {
     "src_extract_literals": lambda s, d: src.literals(_contents(s, d)),
     "src_extract_markdown": lambda s, d: src.markdown_sections(table(s, d, "documents"), "doc_id", "text"),
     "src_code_blocks": lambda s, d: src.code_blocks(table(s, d, "documents"), "doc_id", "text"),
-    "src_streams": lambda s, d: s.createDataFrame([(n,) for n in ("audit_log", "ddl_history", "events")], "stream string").orderBy("stream"),
-    "src_catalog_json": lambda s, d: table(s, d, "repositories").select("repo_id", (F.datediff(F.lit("2026-07-01").cast("date"), F.expr("try_to_timestamp(updated_at)").cast("date")) > 30).alias("stale")),
-    "src_http_logs": lambda s, d: table(s, d, "events").select(*[c for c in ("event_id", "event_type", "missing") if c in table(s, d, "events").columns]),
     "sql_graph_query": _graph_query,
     "sql_observe_raw": lambda s, d: sqlguard.scoped_query(s, {"events": table(s, d, "events")}, "select event_type, count(*) as n from events group by event_type", "", column="none")[0],
     "sql_scan_refs": lambda s, d: _contents(s, d).where("path like '%.sql'").select(F.explode(F.regexp_extract_all("content", F.lit(r"(?i)\b(?:from|join|into|on)\s+([a-z_]+)"), F.lit(1))).alias("name")).groupBy("name").agg(F.count(F.lit(1)).alias("n")),
@@ -53,7 +49,6 @@ QUERIES = {
     "st_incremental": _stream,
     "st_windowed_counts": lambda s, d: changes.windowed_counts(s, f"{d}/events.parque[t]", table(s, d, "events").schema, "ts", "event_type").select(F.date_format("start", "yyyy-MM-dd").alias("day"), F.col("key").alias("event_type"), "n"),
     "st_freshness": lambda s, d: changes.freshness(base.files(s, d).where("language <> 'css' or language is null"), base.files(s, d).withColumn("content_hash", F.when(F.col("language") == "sql", F.lit("x")).otherwise(F.col("content_hash")))),
-    "x_git_changes": lambda s, d: _events(s, d).groupBy("event").agg(F.countDistinct("repo_id", "path").alias("n")),
     "x_staleness": lambda s, d: base.files(s, d).groupBy("repo_id").agg(F.max("updated_at").alias("last_at"), F.count_if(F.col("language").isNull()).alias("dirty")),
     "x_test_plan": lambda s, d: base.files(s, d).where(fn.is_test_path(F.col("path"))).groupBy("repo_id", F.array_join(F.slice(F.split("path", "/"), 1, 2), "/").alias("package")).agg(F.count(F.lit(1)).alias("n_tests")),
     "x_change_value_repr": lambda s, d: src.literals(_contents(s, d)).groupBy(F.when(F.col("value").rlike(r"^\d+$"), "number").when(F.col("value").rlike(r"^[a-z]+$"), "word").otherwise("text").alias("form")).agg(F.sum("n").alias("n")),
@@ -68,11 +63,7 @@ _EXC = src.EXCLUDED
 SQL = {
     "src_files": _C + f", r as (select lower(regexp_extract(path, '\\.([A-Za-z0-9]+)$', 1)) as ext, case when regexp_matches(path, '{_EXC}') then 'excluded' when regexp_matches(regexp_extract(path, '([^/]*)$', 1), '{src.SECRETS}') then 'secret' when length(content) > 1000000 then 'too large' when {_LANG} is null then 'unknown language' end as reason from c) select reason, ext, count(*) as n from r where reason is not null group by 1, 2",
     "src_secret_filter": _C + f" select regexp_matches(regexp_extract(path, '([^/]*)$', 1), '{src.SECRETS}') as secret, count(*) as n from c group by 1",
-    "src_binary_filter": "select repo_id, count(*) as n from file_contents group by 1",
     "src_lang_detect": _C + f" select repo_id, path, {_LANG} as language from c",
-    "src_streams": "select unnest(['audit_log', 'ddl_history', 'events']) as stream",
-    "src_catalog_json": "select repo_id, date_diff('day', cast(cast(updated_at as timestamptz) as date), date '2026-07-01') > 30 as stale from repositories",
-    "src_http_logs": "select event_id, event_type from events",
     "sql_graph_query": "with " + base.SYM + " select kind, count(*) as n from sym where repo_id = 'wharf-core' and line > 5 group by 1",
     "sql_observe_raw": "select event_type, count(*) as n from events group by 1",
     "sql_scan_refs": _C + r", m as (select unnest(regexp_extract_all(content, '(?i)\b(?:from|join|into|on)\s+([a-z_]+)', 1)) as name from c where path like '%.sql') select name, count(*) as n from m group by 1",
@@ -80,7 +71,6 @@ SQL = {
     "st_incremental": "select repo_id, path, content_hash from files qualify row_number() over (partition by repo_id, path order by updated_at desc, content_hash desc) = 1",
     "st_windowed_counts": "select strftime(ts, '%Y-%m-%d') as day, event_type, count(*) as n from events group by 1, 2",
     "st_freshness": "with " + base.FIL + " select repo_id, path, case when language = 'css' then 'missing' when language = 'sql' then 'stale' else 'fresh' end as label from fil",
-    "x_git_changes": "with " + base.FIL + " select 'changed' as event, count(*) as n from fil union all select 'deleted', count(*) from fil where language is null",
     "x_staleness": "with " + base.FIL + " select repo_id, max(updated_at) as last_at, count(*) filter (language is null) as dirty from fil group by 1",
     "x_doc_targets": "select distinct repo_id, file_path from documents where file_path is not null",
 }

@@ -42,7 +42,7 @@ QUERIES = {
     "sql_schema_diff": lambda s, d: op.schema_diff(op.schema_rows({"symbols": table(s, d, "symbols")}), op.schema_rows({"symbols": table(s, d, "symbols").drop("line").withColumn("kind", F.lit(1))})),
     "sql_catalog": lambda s, d: op.schema_rows({n: table(s, d, n) for n in ("symbols", "edges", "files", "ddl_history", "audit_log", "documents")}).groupBy(F.split_part("name", F.lit("."), F.lit(1)).alias("table")).agg(F.sum((F.col("kind") == "column").cast("bigint")).alias("n_columns")),
     "set_multiset_diff": lambda s, d: op.multiset_diff(table(s, d, "audit_log").select("tool", "environment"), _audit_once(s, d).select("tool", "environment"), ["tool", "environment"]),
-    "set_difference": lambda s, d: table(s, d, "audit_log").select("environment").subtract(table(s, d, "ddl_history").where("status = 'failed'").select("environment")),
+    "set_difference": lambda s, d: table(s, d, "audit_log").select("environment", "status").subtract(table(s, d, "ddl_history").select("environment", "status")),
     "set_intersection": lambda s, d: table(s, d, "files").select("repo_id").intersect(table(s, d, "documents").select("repo_id")),
     "set_union_distinct": lambda s, d: table(s, d, "files").select("repo_id").union(table(s, d, "documents").select("repo_id")).distinct(),
     "set_union_all": lambda s, d: table(s, d, "region").select(F.col("r_name").alias("x")).unionAll(table(s, d, "nation").select(F.col("n_name").alias("x"))),
@@ -95,7 +95,7 @@ SQL = {
     "agg_fingerprint": _fp_sql("ddl_history", _LEDGER_COLUMNS),
     "agg_data_diff": f"with a as ({_fp_sql('ddl_history', sorted(_LEDGER_COLUMNS))}), b as ({_fp_sql('(select distinct * from ddl_history)', sorted(_LEDGER_COLUMNS))}) select '{','.join(sorted(_LEDGER_COLUMNS))}' as columns, a.n_rows as left_rows, b.n_rows as right_rows, a.checksum as left_checksum, b.checksum as right_checksum, a.checksum = b.checksum as identical from a, b",
     "set_multiset_diff": "with a as (select tool, environment, count(*) as n from audit_log group by 1, 2), b as (select tool, environment, count(*) as n from (select distinct * from audit_log) group by 1, 2) select tool, environment, coalesce(a.n, 0) as in_a, coalesce(b.n, 0) as in_b from a full join b using (tool, environment) where coalesce(a.n, 0) <> coalesce(b.n, 0)",
-    "set_difference": "select environment from audit_log except select environment from ddl_history where status = 'failed'",
+    "set_difference": "select environment, status from audit_log except select environment, status from ddl_history",
     "set_intersection": "select repo_id from files intersect select repo_id from documents",
     "set_union_distinct": "select repo_id from files union select repo_id from documents",
     "set_union_all": "select r_name as x from region union all select n_name from nation",
