@@ -15,28 +15,28 @@ def tree_aggregate(df: DataFrame, keys: list[str], distinct: dict[str, str], row
     rows by (key, column, value) before anything moves, and what is left is spread by that whole triple, so a
     hot key is shared by all tasks and equal values meet once. From there all states are plain sums: each task
     folds its part of a key into one state, and the states climb a tree in which a node takes those of fan_in
-    tasks, ceil(log_fan_in(tasks)) rounds in all. No reducer ever gets more than fan_in states of one key.
+    tasks, ceil(log_fan_in(tasks)) rounds in all. No reducer ever gets more than fan_in states of one key. Without
+    distinct counts nothing but the keys moves: the leaves are the splits' own sums, spread over as many nodes as tasks.
 
     Defined cases: NULL is a key like any other; NULL values count as rows but not as distinct values; repeated
     rows count each; an empty table gives no rows; other columns are ignored.
     """
     names = list(distinct)
-    values = [F.struct(F.lit(i).alias("m"), F.col(distinct[name]).cast("string").alias("v")) for i, name in enumerate(names)] or [F.struct(F.lit(0).alias("m"), F.lit(None).cast("string").alias("v"))]
-    leaves = (
-        df.select(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)], F.explode(F.array(*values)).alias("x"))
-        .select(*[f"k{i}" for i in range(len(keys))], "x.m", "x.v")
-        .groupBy(*[f"k{i}" for i in range(len(keys))], "m", "v")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
     k = [f"k{i}" for i in range(len(keys))]
-    states = leaves.select(
-        *k,
-        F.spark_partition_id().alias("node"),  # any numbering gives the same sums
-        F.when(F.col("m") == 0, F.col("n")).otherwise(F.lit(0)).alias("r"),
-        *[F.when((F.col("m") == i) & F.col("v").isNotNull(), F.lit(1)).otherwise(F.lit(0)).cast("bigint").alias(f"d{i}") for i in range(len(names))],
-    )
-    sums = [F.sum("r").alias("r"), *[F.sum(f"d{i}").alias(f"d{i}") for i in range(len(names))]]
+    renamed = [F.col(key).alias(f"k{i}") for i, key in enumerate(keys)]
     width = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if names:
+        values = F.array(*[F.struct(F.lit(i).alias("m"), F.col(distinct[name]).cast("string").alias("v")) for i, name in enumerate(names)])
+        leaves = df.select(*renamed, F.explode(values).alias("x")).select(*k, "x.m", "x.v").groupBy(*k, "m", "v").agg(F.count(F.lit(1)).alias("n"))
+        states = leaves.select(
+            *k,
+            F.spark_partition_id().alias("node"),  # any numbering gives the same sums
+            F.when(F.col("m") == 0, F.col("n")).otherwise(F.lit(0)).alias("r"),
+            *[F.when((F.col("m") == i) & F.col("v").isNotNull(), F.lit(1)).otherwise(F.lit(0)).cast("bigint").alias(f"d{i}") for i in range(len(names))],
+        )
+    else:
+        states = df.select(*renamed, F.pmod(F.spark_partition_id(), F.lit(width)).alias("node")).groupBy(*k, "node").agg(F.count(F.lit(1)).alias("r"))
+    sums = [F.sum("r").alias("r"), *[F.sum(f"d{i}").alias(f"d{i}") for i in range(len(names))]]
     while width > fan_in:
         width = -(-width // fan_in)
         states = states.groupBy(*k, F.floor(F.col("node") / fan_in).cast("int").alias("node")).agg(*sums)
@@ -50,6 +50,6 @@ def hot_key_profile(edges: DataFrame, fan_in: int = FAN_IN) -> DataFrame:
 
 
 def heavy_keys(edges: DataFrame, share: float = 0.01, fan_in: int = FAN_IN) -> DataFrame:
-    """Rows of hot_key_profile() whose key holds at least that share of all rows."""
+    """(to_id, type, n_rows) of the keys that hold at least that share of all rows, by tree_aggregate()."""
     total = edges.agg(F.count(F.lit(1))).scalar()
-    return hot_key_profile(edges, fan_in).where(F.col("n_rows") >= F.lit(share) * total)
+    return tree_aggregate(edges, ["to_id", "type"], {}, fan_in=fan_in).where(F.col("n_rows") >= F.lit(share) * total)
