@@ -139,6 +139,26 @@ def uncalled(symbols: DataFrame, edges: DataFrame, kinds: list[str]) -> DataFram
     return s.join(met.select("repo_id", "symbol_id").distinct(), ["repo_id", "symbol_id"], "left_anti").select("repo_id", "symbol_id", "name", "file_path")
 
 
+# Fixed value: files that start a program, by name.
+BOOTSTRAP = r"(?i)(^|/)(main|index|app|program|startup)\.[a-z]+$"
+
+
+def entry_points(symbols: DataFrame, edges: DataFrame, kinds: list[str], handlers: DataFrame | None = None, most: int = 20) -> DataFrame:
+    """(repo_id, symbol_id, how): where a repository may be entered, at most that many of it, the surest first.
+
+    handler: the handlers of routes (repo_id, symbol_id) given; bootstrap: symbols of these kinds in files that start a
+    program; uncalled: those of uncalled(). A symbol counts once; ties by file and id.
+    """
+    own = symbols.where(F.col("kind").isin(*kinds)).select("repo_id", "symbol_id", "file_path")
+    ways = [own.where(F.col("file_path").rlike(BOOTSTRAP)).withColumn("rank", F.lit(1)), uncalled(symbols, edges, kinds).select("repo_id", "symbol_id", "file_path").withColumn("rank", F.lit(2))]
+    if handlers is not None:
+        ways.append(own.join(handlers.select("repo_id", "symbol_id").distinct(), ["repo_id", "symbol_id"]).withColumn("rank", F.lit(0)))
+    one = reduce(DataFrame.unionByName, ways).groupBy("repo_id", "symbol_id", "file_path").agg(F.min("rank").alias("rank"))
+    rn = F.row_number().over(Window.partitionBy("repo_id").orderBy("rank", "file_path", "symbol_id"))
+    how = F.element_at(F.array(*map(F.lit, ("handler", "bootstrap", "uncalled"))), F.col("rank") + 1)
+    return one.withColumn("rn", rn).where(F.col("rn") <= most).select("repo_id", "symbol_id", how.alias("how"))
+
+
 def interface_siblings(symbols: DataFrame, edges: DataFrame, most: int = 20) -> DataFrame:
     """(repo_id, symbol_id, sibling_id): methods and the methods of the same name in implementors or interfaces."""
     impl = edges.where("type = 'IMPLEMENTS'").select("repo_id", F.col("from_id").alias("cls"), F.col("to_id").alias("iface")).distinct()

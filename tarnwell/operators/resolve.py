@@ -149,9 +149,10 @@ def endpoint_match(calls: DataFrame, routes: DataFrame) -> DataFrame:
     return best.select("call", "b.route", "b.tier")
 
 
-def packages(edges: DataFrame, symbols: DataFrame) -> DataFrame:
-    """(edge_id, symbol_id): npm: and nuget: tokens to the module of that name, the first by repository and id."""
-    m = symbols.where("kind = 'module'").groupBy("name").agg(F.min(F.struct("repo_id", "symbol_id")).alias("m"))
+def packages(edges: DataFrame, symbols: DataFrame, kinds: tuple[str, ...] = ("module", "class", "interface", "type")) -> DataFrame:
+    """(edge_id, symbol_id): npm: and nuget: tokens to the module or the exported type of that name, the first by repository
+    and id."""
+    m = symbols.where(F.col("kind").isin(*kinds)).groupBy("name").agg(F.min(F.struct("repo_id", "symbol_id")).alias("m"))
     e = edges.where(F.col("to_id").rlike("^(npm|nuget):")).select("edge_id", F.regexp_replace("to_id", "^(npm|nuget):", "").alias("name"))
     return e.join(m, "name").select("edge_id", F.col("m.symbol_id").alias("symbol_id"))
 

@@ -162,15 +162,15 @@ def _leaves(plan) -> list:
 def bounded(rows: DataFrame, most: int, seconds: float) -> tuple[list, str]:
     """(rows, state): rows as they come, at most that many; state complete, capped or timed out. The job is cancelled at
     the deadline."""
-    spark, tag = rows.sparkSession, f"bounded-{uuid.uuid4().hex}"
+    context, tag = rows.sparkSession.sparkContext, f"bounded-{uuid.uuid4().hex}"
     late = threading.Event()
 
     def cancel() -> None:
         late.set()
-        spark.interruptTag(tag)
+        context.cancelJobsWithTag(tag)
 
     timer = threading.Timer(seconds, cancel)
-    spark.addTag(tag)
+    context.addJobTag(tag)
     timer.start()
     try:
         found = rows.limit(most + 1).collect()  # most + 1 rows at most
@@ -180,7 +180,7 @@ def bounded(rows: DataFrame, most: int, seconds: float) -> tuple[list, str]:
         raise
     finally:
         timer.cancel()
-        spark.removeTag(tag)
+        context.removeJobTag(tag)
     return found[:most], "capped" if len(found) > most else "complete"
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import scalar as fn
 from ..operators import graph as op
 from ..operators.skew import salted_join
+from ..sources.tables import table
 from . import base
 
 KINDS = ["function", "method", "class", "interface", "variable", "type"]
@@ -83,6 +84,13 @@ def _implementations(s, d):
     return by_id.unionByName(by_name).select("repo_id", "iface", F.col("from_id").alias("implementor")).distinct()
 
 
+def _reverse(s, d):
+    """Files that need, over two steps, a file whose rows know several contents."""
+    e = op.endpoints(_resolved(s, d), base.symbols(s, d), "inner").where("source_file <> target_file").select("repo_id", F.col("source_file").alias("from_id"), F.col("target_file").alias("to_id")).distinct()
+    f = table(s, d, "files").groupBy("repo_id", fn.norm_path(F.col("path")).alias("id")).agg(F.countDistinct("content_hash").alias("n"))
+    return op.reach(f.where("n > 1").select("repo_id", "id"), e, 2, backward=True)
+
+
 QUERIES = {
     "jn_edge_endpoints": lambda s, d: op.endpoints(base.edges(s, d), base.symbols(s, d)).select("edge_id", "source_name", "source_file", "target_name", "target_file"),
     "jn_inner_endpoints": lambda s, d: op.endpoints(base.edges(s, d), base.symbols(s, d), "inner").select("edge_id", "source_name", "target_name"),
@@ -115,13 +123,13 @@ QUERIES = {
     "g_module_flow": _module_flow,
     "g_trace_flow": lambda s, d: op.reach(_start(s, d), _resolved(s, d, op.CALL_TYPES), 3),
     "g_change_context": lambda s, d: op.reach(_start(s, d), _resolved(s, d, op.CALL_TYPES), 2, backward=True),
-    "g_reverse_files": lambda s, d: (lambda x: op.reach(x.where(F.col("to_id").endswith(".cs")).select("repo_id", F.col("to_id").alias("id")), x, 2, backward=True))(op.endpoints(_resolved(s, d), base.symbols(s, d), "inner").where("source_file <> target_file").select("repo_id", F.col("source_file").alias("from_id"), F.col("target_file").alias("to_id"))),
+    "g_reverse_files": _reverse,
     "g_interface_siblings": lambda s, d: op.interface_siblings(base.symbols(s, d), base.edges(s, d)),
     "g_cycles": lambda s, d: op.cycles(_resolved(s, d, ["CALLS", "IMPORTS", "DEPENDS_ON"]), 4),
     "g_dead_code": lambda s, d: op.uncalled(base.symbols(s, d), base.edges(s, d), KINDS),
     "g_call_blind_langs": lambda s, d: (lambda c, f: f.join(c, ["repo_id", "language"], "left_anti").join(c.select("repo_id").distinct(), "repo_id", "left_semi"))(
         op.endpoints(base.edges(s, d).where("type = 'CALLS'"), base.symbols(s, d)).join(base.files(s, d).select("repo_id", F.col("path").alias("source_file"), "language"), ["repo_id", "source_file"]).where("language is not null").select("repo_id", "language").distinct(), base.files(s, d).where("language is not null").select("repo_id", "language").distinct()),
-    "g_entry_points": lambda s, d: op.uncalled(base.symbols(s, d), base.edges(s, d), ["function", "method"]).where(F.col("file_path").rlike(r"(?i)(^|/)(main|index|app|program|startup)\.[a-z]+$") | F.col("name").rlike("^(run|start|handle)")),
+    "g_entry_points": lambda s, d: op.entry_points(base.symbols(s, d), base.edges(s, d), ["function", "method"]),
     "g_implementations": _implementations,
     "g_field_access": lambda s, d: _pairs(s, d).join(base.edges(s, d).where("type in ('PROPERTY_REF', 'PROPERTY_WRITE')").select("repo_id", "edge_id", "type", "from_id"), ["repo_id", "edge_id"]).select("repo_id", "symbol_id", "edge_id", "type", "from_id"),
     "g_rename_impact": lambda s, d: op.endpoints(_resolved(s, d, ["CALLS", "IMPORTS"]), base.symbols(s, d), "inner").groupBy("repo_id", "to_id").agg(F.countDistinct("source_file").alias("n_files"), F.count(F.lit(1)).alias("n_edges")),
@@ -175,6 +183,8 @@ _USED = "used as (select distinct repo_id, to_id from edges where type in ('CALL
 _DEAD = _B + ", " + _USED + ", dead as (select repo_id, symbol_id, name, file_path, kind from sym s where not " + base.test_sql("file_path") + " and name not like '\\_%' escape '\\' and coalesce(signature, '') not like 'private %' and name not in ('constructor', 'toString', 'main', 'index', 'get', 'set')" + "".join(f" and not exists (select 1 from used u where u.repo_id = s.repo_id and u.to_id = {k})" for k in ("s.symbol_id", "'callee:' || s.name", "'type:' || s.name", "'import:' || s.name", "'component:' || s.name")) + ")"
 _RES = "res as (select distinct repo_id, from_id, to_id from edges where not contains(to_id, ':') and type in ('CALLS', 'PUBLISHES', 'USES_COMPONENT', 'USES_CSS_VAR', 'USES_CSS_CLASS', 'SQL_USES', 'SQL_REFERENCES', 'SQL_GRANT', 'SQL_QUERY'))"
 
+_RISK = "cast(floor(100 * (0.7 * least(1.0, coalesce(n.files, 0) / 50.0) + 0.15 * round(r.unr, 6) + 0.1 * (1 - round(r.med, 6)) + 0.05 * (r.low / r.n)) + 0.5) as bigint)"
+
 
 def _walk(a: str, b: str, depth: int) -> str:
     return f", {_RES}, walk as (select distinct repo_id, symbol_id as id, 0 as distance from sym where kind = 'class' union select w.repo_id, r.{b}, w.distance + 1 from walk w join res r on r.repo_id = w.repo_id and r.{a} = w.id where w.distance < {depth}) select repo_id, id, min(distance) as distance from walk group by 1, 2"
@@ -189,6 +199,12 @@ _CYC = """with cur as (select distinct repo_id, from_id as f, to_id as t from ed
     select distinct repo_id, len(p)::int as length, least(array_to_string(p, '>'), array_to_string(list_concat(p[1:1], list_reverse(p[2:])), '>')) as cycle from al"""
 
 SQL = {
+    "g_reverse_files": "with recursive " + _EP.removeprefix("with ") + r""", fe as (select distinct repo_id, source_file as f, target_file as t from ep where not contains(to_id, ':') and source_file <> target_file),
+        walk as (select repo_id, replace(path, '\\', '/') as id, 0 as distance from files group by 1, 2 having count(distinct content_hash) > 1
+            union select w.repo_id, fe.f, w.distance + 1 from walk w join fe on fe.repo_id = w.repo_id and fe.t = w.id where w.distance < 2)
+        select repo_id, id, min(distance) as distance from walk group by 1, 2""",
+    "flt_risk": _IMPACT + ", " + _REL + """, n as (select repo_id, count(distinct caller_file) as files from imp group by 1)
+        select r.repo_id, RISK as score, case when RISK >= 67 then 'high' when RISK >= 34 then 'medium' else 'low' end as level from rel r left join n on n.repo_id = r.repo_id where RISK >= 34""".replace("RISK", _RISK),
     "jn_edge_endpoints": _EP + " select edge_id, source_name, source_file, target_name, target_file from ep",
     "jn_inner_endpoints": _EP + " select edge_id, source_name, target_name from ep where source_file is not null and target_file is not null",
     "jn_symbol_token_pairs": _PAIRS + " select * from pairs",
@@ -223,7 +239,9 @@ SQL = {
     "g_cycles": _CYC,
     "g_dead_code": _DEAD + " select repo_id, symbol_id, name, file_path from dead where kind in ('function', 'method', 'class', 'interface', 'variable', 'type')",
     "g_call_blind_langs": _EP + ", " + base.FIL + ", c as (select distinct ep.repo_id, f.language from ep join fil f on f.repo_id = ep.repo_id and f.path = ep.source_file where type = 'CALLS' and language is not null) select distinct repo_id, language from fil where language is not null and repo_id in (select repo_id from c) and (repo_id, language) not in (select repo_id, language from c)",
-    "g_entry_points": _DEAD + r" select repo_id, symbol_id, name, file_path from dead where kind in ('function', 'method') and (regexp_matches(file_path, '(?i)(^|/)(main|index|app|program|startup)\.[a-z]+$') or regexp_matches(name, '^(run|start|handle)'))",
+    "g_entry_points": _DEAD + r""", ways as (select repo_id, symbol_id, file_path, 1 as rank from sym where kind in ('function', 'method') and regexp_matches(file_path, '(?i)(^|/)(main|index|app|program|startup)\.[a-z]+$')
+        union all select repo_id, symbol_id, file_path, 2 from dead where kind in ('function', 'method')), one as (select repo_id, symbol_id, file_path, min(rank) as rank from ways group by 1, 2, 3)
+        select repo_id, symbol_id, case rank when 1 then 'bootstrap' else 'uncalled' end as how from one qualify row_number() over (partition by repo_id order by rank, file_path, symbol_id) <= 20""",
     "g_implementations": _B + " select distinct e.repo_id, s.symbol_id as iface, e.from_id as implementor from edges e join sym s on s.repo_id = e.repo_id and s.kind = 'interface' and e.to_id in (s.symbol_id, 'iface:' || s.name) where e.type = 'IMPLEMENTS'",
     "g_field_access": _PAIRS + " select p.repo_id, p.symbol_id, p.edge_id, e.type, e.from_id from pairs p join edges e using (edge_id) where e.type in ('PROPERTY_REF', 'PROPERTY_WRITE')",
     "g_rename_impact": _EP + " select repo_id, to_id, count(distinct source_file) as n_files, count(*) as n_edges from ep where source_file is not null and target_file is not null and not contains(to_id, ':') and type in ('CALLS', 'IMPORTS') group by 1, 2",

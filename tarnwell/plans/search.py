@@ -194,7 +194,7 @@ SQL = {
     "r_stale_docs": _MEN + " select doc_id, count(*) as n, count(*) filter (status = 'ambiguous') as n_ambiguous from bound where status <> 'unbound' group by 1",
     "x_ambiguous_count": _MEN + " select repo_id, count(*) filter (status = 'ambiguous') as n_ambiguous, count(*) as n from bound group by 1",
     "agg_stale_groups": _MEN + " select mention, count(*) as n, count(distinct doc_id) as n_docs, max(n_candidates) as most from bound where status = 'ambiguous' group by 1",
-    "r_packages": _S + ", m as (select name, arg_min(symbol_id, {'r': repo_id, 's': symbol_id}) as symbol_id from sym where kind = 'module' group by 1) select edge_id, m.symbol_id from edges join m on to_id in ('npm:' || m.name, 'nuget:' || m.name)",
+    "r_packages": _S + ", m as (select name, arg_min(symbol_id, {'r': repo_id, 's': symbol_id}) as symbol_id from sym where kind in ('module', 'class', 'interface', 'type') group by 1) select edge_id, m.symbol_id from edges join m on to_id in ('npm:' || m.name, 'nuget:' || m.name)",
     "r_publish_consume": "with d as (select *, edge_id % 4 = 0 as pub from edges where type = 'DEPENDS_ON') select distinct a.to_id as contract, a.from_id as producer, b.from_id as consumer from d a join d b on a.to_id = b.to_id where a.pub and not b.pub and a.from_id <> b.from_id",
     "win_current_definition": _DEF + " select key, definition, state from l",
     "g_sql_drop_state": _DEF + " select state, count(*) as n from l group by 1",

@@ -44,7 +44,6 @@ QUERIES = {
     "sql_graph_query": _graph_query,
     "sql_observe_raw": lambda s, d: sqlguard.scoped_query(s, {"events": table(s, d, "events")}, "select event_type, count(*) as n from events group by event_type", "", column="none")[0],
     "sql_scan_refs": lambda s, d: _contents(s, d).where("path like '%.sql'").select(F.explode(F.regexp_extract_all("content", F.lit(r"(?i)\b(?:from|join|into|on)\s+([a-z_]+)"), F.lit(1))).alias("name")).groupBy("name").agg(F.count(F.lit(1)).alias("n")),
-    "sql_ddl_lint": lambda s, d: search_lines(_contents(s, d).where("path like '%.sql'").withColumn("k", F.concat_ws(":", "repo_id", "path")), r"(?i)^\s*create\s+(unique\s+)?index\b(?!\s+concurrently)", "k", "content").groupBy("k").agg(F.count(F.lit(1)).alias("locks_writes")),
     "st_watch": lambda s, d: changes.coalesce_changes(_events(s, d)),
     "st_incremental": _stream,
     "st_windowed_counts": lambda s, d: changes.windowed_counts(s, f"{d}/events.parque[t]", table(s, d, "events").schema, "ts", "event_type").select(F.date_format("start", "yyyy-MM-dd").alias("day"), F.col("key").alias("event_type"), "n"),

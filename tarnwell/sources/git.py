@@ -31,7 +31,8 @@ def porcelain(outputs: DataFrame) -> DataFrame:
 
 def name_status(outputs: DataFrame) -> DataFrame:
     """(repo_id, path, old_path, change) of (repo_id, output), output of git diff --name-status; renames stay one row."""
-    line = outputs.where("output is not null").select("repo_id", F.split(F.explode(F.split("output", "\n")), "\t").alias("f")).where(F.size("f") > 1)
+    line = outputs.where("output is not null").select("repo_id", F.explode(F.split("output", "\n")).alias("l"))
+    line = line.select("repo_id", F.split("l", "\t").alias("f")).where(F.size("f") > 1)
     two = F.size("f") > 2
     return line.select("repo_id", F.element_at("f", -1).alias("path"), F.when(two, F.col("f")[1]).alias("old_path"), _change(F.substring(F.col("f")[0], 1, 1)).alias("change"))
 
