@@ -189,7 +189,25 @@ _MEN = _S + r""", d1 as (select doc_id, first(repo_id) as repo_id, first(text) a
     bound as (select m.doc_id, m.repo_id, m.mention, case when n is null then 'unbound' when n = 1 then 'bound' else 'ambiguous' end as status, case when n = 1 then first end as symbol_id, coalesce(n, 0) as n_candidates
         from men m left join cnt c on c.repo_id = m.repo_id and c.mention = m.mention)""".replace("TESTSQL", base.test_sql("file_path"))
 
+_AFF = "with " + base.FIL + r""", w as (select repo_id, path, unnest(list_distinct(list_filter(string_split_regex(lower(regexp_replace(regexp_replace(regexp_replace(regexp_extract(path, '([^/]*)$', 1), '\.[^.]*$', ''), '([a-z0-9])([A-Z])', '\1 \2', 'g'), '([A-Z]+)([A-Z][a-z])', '\1 \2', 'g')), '[^a-z]+'), lambda x: length(x) >= 3))) as w, TESTSQL as test from fil),
+    aff as (select a.repo_id, a.path as test, b.path as source, count(*) as n, round(least(0.5, 0.42 + 0.05 * (count(*) - 1)), 6)::double as score from w a join w b on b.repo_id = a.repo_id and b.w = a.w and a.test and not b.test group by 1, 2, 3 having count(*) >= 2)""".replace("TESTSQL", base.test_sql("path"))
+
 SQL = {
+    "win_position_penalty": _CAND.replace("walker", "trace") + f" select repo_id, symbol_id, round({_CT}, 6) as confidence from c",
+    "agg_doc_coverage": _MEN + """, hitd as (select b.repo_id, b.symbol_id, count(distinct doc_id) as n from bound b where status = 'bound' group by 1, 2)
+        select y.repo_id, count(*) as n_symbols, count(h.n) as documented from sym y left join hitd h on h.repo_id = y.repo_id and h.symbol_id = y.symbol_id group by 1""",
+    "search_comments": r"""with l as (select repo_id || ':' || path as k, unnest(string_split_regex(content, '\r?\n')) as l, generate_subscripts(string_split_regex(content, '\r?\n'), 1) as line from file_contents)
+        select k, line from l where regexp_matches(l, '^\s*(//|#).*called once per run')""",
+    "fts_query_name": _S + r""", t as (select repo_id, symbol_id, list_filter(string_split_regex(lower(regexp_replace(regexp_replace(name, '([a-z0-9])([A-Z])', '\1 \2', 'g'), '([A-Z]+)([A-Z][a-z])', '\1 \2', 'g')), '[^\p{L}\p{N}]+'), lambda x: length(x) >= 2) as w from sym)
+        select repo_id, symbol_id, 2 as matched from t where len(list_filter(w, lambda x: starts_with(x, 'sampler'))) > 0 and len(list_filter(w, lambda x: starts_with(x, 'tr'))) > 0""",
+    "agg_suggestions": _S + r""", t as (select distinct name, list_distinct(list_filter(string_split_regex(lower(regexp_replace(regexp_replace(name, '([a-z0-9])([A-Z])', '\1 \2', 'g'), '([A-Z]+)([A-Z][a-z])', '\1 \2', 'g')), '[^\p{L}\p{N}]+'), lambda x: x in ('walker', 'trace', 'lookup'))) as w from sym)
+        select name, len(w) as hits from t where len(w) > 0 order by 2 desc, length(name), name limit 10""",
+    "r_docs_behind_code": _MEN + ", " + base.FIL + """, m as (select b.doc_id, f.updated_at as code_at, d.recorded_at as doc_at, y.file_path from bound b join documents d on d.doc_id = b.doc_id join sym y on y.repo_id = d.repo_id and y.symbol_id = b.symbol_id
+            join fil f on f.repo_id = y.repo_id and f.path = y.file_path where status = 'bound'),
+        g as (select doc_id, max(code_at) as c, max(doc_at) as d, count(distinct file_path) as n from m group by 1)
+        select doc_id, cast(floor((epoch_us(c) - epoch_us(d)) / 86400000000.0) as bigint) as days, n as n_files from g where floor((epoch_us(c) - epoch_us(d)) / 86400000000.0) >= 1""",
+    "jn_cross_affinity": _AFF + " select repo_id, test, source, n, score from aff",
+    "g_link_tests": _AFF + " select repo_id, test, arg_min(source, {'s': -score, 'n': source}) as source, max(score) as score from aff group by 1, 2",
     "r_mentions": _MEN + " select doc_id, mention, status, symbol_id, n_candidates from bound",
     "r_stale_docs": _MEN + " select doc_id, count(*) as n, count(*) filter (status = 'ambiguous') as n_ambiguous from bound where status <> 'unbound' group by 1",
     "x_ambiguous_count": _MEN + " select repo_id, count(*) filter (status = 'ambiguous') as n_ambiguous, count(*) as n from bound group by 1",

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar as fn
 from ..operators import sqlguard
-from ..operators.search import search_lines
+from ..operators.search import search_matches
 from ..sources import files as src
 from ..sources.tables import table
 from ..streaming import changes
@@ -51,7 +51,7 @@ QUERIES = {
     "x_staleness": lambda s, d: base.files(s, d).groupBy("repo_id").agg(F.max("updated_at").alias("last_at"), F.count_if(F.col("language").isNull()).alias("dirty")),
     "x_test_plan": lambda s, d: base.files(s, d).where(fn.is_test_path(F.col("path"))).groupBy("repo_id", F.array_join(F.slice(F.split("path", "/"), 1, 2), "/").alias("package")).agg(F.count(F.lit(1)).alias("n_tests")),
     "x_change_value_repr": lambda s, d: src.literals(_contents(s, d)).groupBy(F.when(F.col("value").rlike(r"^\d+$"), "number").when(F.col("value").rlike(r"^[a-z]+$"), "word").otherwise("text").alias("form")).agg(F.sum("n").alias("n")),
-    "x_citations_from": lambda s, d: search_lines(_contents(s, d).withColumn("k", F.concat_ws(":", "repo_id", "path")), r"GX-\d+", "k", "content").select("k", "line", "first"),
+    "x_citations_from": lambda s, d: search_matches(table(s, d, "documents").where("file_path is not null").withColumn("k", F.concat_ws(":", "repo_id", "file_path")), r"GX-\d+", "k", "text").groupBy("k", F.col("match").alias("target")).agg(F.count(F.lit(1)).alias("n")),
     "x_doc_targets": lambda s, d: table(s, d, "documents").where("file_path is not null").select("repo_id", "file_path").distinct(),
 }
 
@@ -60,6 +60,13 @@ _C = "with c as (select repo_id, replace(path, '\\', '/') as path, content from
 _EXC = src.EXCLUDED
 
 SQL = {
+    "x_citations_from": r"with m as (select concat_ws(':', repo_id, file_path) as k, unnest(regexp_extract_all(text, 'GX-\d+')) as target from documents where file_path is not null) select k, target, count(*) as n from m group by 1, 2",
+    "x_test_plan": "with " + base.FIL + f" select repo_id, array_to_string(string_split(path, '/')[1:2], '/') as package, count(*) as n_tests from fil where {base.test_sql('path')} group by 1, 2",
+    "src_extract_literals": _C + r""", v as (select repo_id, path, unnest(regexp_extract_all(content, '"((?:[^"\\\n]|\\.)+)"', 1)) as value from c) select repo_id, path, value, count(*) as n from v group by 1, 2, 3""",
+    "src_extract_declarations": _C + ", v as (" + " union all ".join(f"select repo_id, path, '{k}' as kind, unnest(regexp_extract_all(content, '{p}', 1)) as name from c" for k, p in src.DECLARATIONS.items()) + ") select repo_id, path, kind, name, count(*) as n from v group by 1, 2, 3, 4",
+    "src_extract_markdown": r"""with d as (select doc_id, string_split_regex(regexp_replace(regexp_replace(text, '(?ms)^```.*?^```[ \t]*$', '', 'g'), '(?ms)^~~~.*?^~~~[ \t]*$', '', 'g'), '\r?\n') as ls from documents where text is not null),
+        l as (select doc_id, unnest(ls) as l, unnest(range(0, len(ls))) as position from d)
+        select doc_id, position, length(regexp_extract(l, '^(#+)', 1)) as level, trim(regexp_replace(l, '^#+ ', '')) as heading from l where regexp_matches(l, '^#{1,6} ')""",
     "src_files": _C + f", r as (select lower(regexp_extract(path, '\\.([A-Za-z0-9]+)$', 1)) as ext, case when regexp_matches(path, '{_EXC}') then 'excluded' when regexp_matches(regexp_extract(path, '([^/]*)$', 1), '{src.SECRETS}') then 'secret' when length(content) > 1000000 then 'too large' when {_LANG} is null then 'unknown language' end as reason from c) select reason, ext, count(*) as n from r where reason is not null group by 1, 2",
     "src_secret_filter": _C + f" select regexp_matches(regexp_extract(path, '([^/]*)$', 1), '{src.SECRETS}') as secret, count(*) as n from c group by 1",
     "src_lang_detect": _C + f" select repo_id, path, {_LANG} as language from c",
