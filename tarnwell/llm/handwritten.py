@@ -18,8 +18,8 @@ from .syntax import with_language
 LABELS = ["handwritten", "generated", "minified", "vendored", "blob"]
 #: Log-odds with which a file, and a directory, is hand-written before anything is known of it or what is around it.
 FILE_PRIOR, DIR_PRIOR = 1.2, 2.0
-#: Bodies shorter than this are too common to tell a copy.
-BODY_CHARS = 200
+#: Characters from which equal bodies fully tell a copy, and the form of a text fully tells what it is; less says less.
+BODY_CHARS, FORM_CHARS = 200, 120
 
 #: What the label of a directory says of a file in it, and of a directory in it: P(row label of the child | label of the directory).
 FILE_GIVEN_DIR = {
@@ -134,7 +134,7 @@ def evidence(path: str, language: str | None, text: str) -> list[float]:
     amid, foot = later_comments(name, language, text, head.end() if head else 0)
     if any(is_mark(x, _GENERATED_HEAD) for x in [*lines, *foot]) or any(is_mark(x, _GENERATED_AMID) for x in amid):
         e[1] += 7.0
-    elif lines and _TALKS_OF.search(" ".join(lines[:4])):
+    elif lines and _TALKS_OF.search(" ".join(lines)):
         e[0] += 2.0
     top = "\n".join(lines)
     if _LIBRARY_HEAD.search(top) and not _OWN_HEAD.search(top):
@@ -150,28 +150,29 @@ def evidence(path: str, language: str | None, text: str) -> list[float]:
         e[1] += 6.0
     code = body.strip()
     n = len(code)
-    if n >= 120:
+    if n:
+        full = min(1.0, n / FORM_CHARS) ** 3
         rows = [x for x in code.splitlines() if x.strip()]
         wide = "".join(x for x in rows if len(x) > 250)
         long = len(wide)
         data = (sum(len(m[0]) + 1 for m in _NUMBER.finditer(code)) + sum(len(m[0]) for m in _ENCODED.finditer(code))) / n
         if language not in ("json", "markdown", "text", None) or name.rsplit(".", 1)[-1] in ("js", "css", "ts", "mjs", "cs", "py"):
             if long > 0.75 * n and data < 0.4 and len(re.findall(r"\s", wide)) < 0.1 * long and len(re.findall(r"[{}();=?]", wide)) > 0.1 * long:
-                e[2] += 7.0
+                e[2] += 7.0 * full
             if re.search(r"[#@]\s?sourceMappingURL=", text):
                 e[2] += 3.0
         if data > 0.55:
-            e[4] += 7.5
+            e[4] += 7.5 * full
         elif data > 0.42:
-            e[4] += 5.5
+            e[4] += 5.5 * full
         if e[2] < 7 and code[0] not in "{[" and (len(rows) >= 8 or long > 0.5 * n):
-            e[1] += _repeats(rows, code)
+            e[1] += _repeats(rows, code) * full
     return e
 
 
 def _repeats(rows: list[str], code: str) -> float:
     """Log-odds of generated code from members that are numbered in order and from lines of few shapes."""
-    numbers = {int(x) for x in _NUMBERED.findall(code) if len(x) < 6}
+    numbers = {int(x) for x in _NUMBERED.findall(code) if len(x) < 19}  # no file numbers that many members
     run = 0
     while run in numbers or run + 1 in numbers:
         run += 1
@@ -180,11 +181,11 @@ def _repeats(rows: list[str], code: str) -> float:
     return (6.5 if run >= 5 and share > 0.3 else 0.0) + (1.5 if run >= 5 and shapes < 0.4 else 0.0)
 
 
-def body_key(text: str) -> str | None:
-    """A hash of a file without its leading comments and white space; None for short ones."""
+def body_key(text: str) -> tuple[str | None, int]:
+    """A hash of a file without its leading comments and white space, and its length; None for an empty one."""
     head = _COMMENTS.match(text)
-    body = re.sub(r"\s+", " ", text[head.end() :] if head else text).strip()
-    return hashlib.md5(body.encode("utf-8", "surrogatepass")).hexdigest() if len(body) >= BODY_CHARS else None
+    body = " ".join((text[head.end() :] if head else text).split())
+    return (hashlib.md5(body.encode("utf-8", "surrogatepass")).hexdigest() if body else None), len(body)
 
 
 def _look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -192,7 +193,8 @@ def _look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         texts = b["content"].fillna("")
         e = [evidence(p, language, t) for p, language, t in zip(b["path"], b["language"].astype(object).where(b["language"].notna(), None), texts)]
         out = pd.DataFrame(e, columns=[f"e{i}" for i in range(5)])
-        yield out.assign(repo_id=b["repo_id"].values, path=b["path"].values, body=[body_key(t) for t in texts])[["repo_id", "path", "body", *out.columns]]
+        keys = [body_key(t) for t in texts]
+        yield out.assign(repo_id=b["repo_id"].values, path=b["path"].values, body=[k for k, _ in keys], size=[n for _, n in keys])[["repo_id", "path", "body", "size", *out.columns]]
 
 
 def _total(terms: list[Column]) -> Column:
@@ -227,10 +229,11 @@ def labels(contents: DataFrame, files: DataFrame) -> DataFrame:
     """
     scratch = Scratch(contents.sparkSession, "labels")
     known = with_language(contents.where(F.col("repo_id").isNotNull() & F.col("path").isNotNull()), files)
-    seen = scratch.save(known.select("repo_id", "path", "content", "language").mapInPandas(_look, "repo_id string, path string, body string, " + ", ".join(f"e{i} double" for i in range(5))), "seen")
+    seen = scratch.save(known.select("repo_id", "path", "content", "language").mapInPandas(_look, "repo_id string, path string, body string, size bigint, " + ", ".join(f"e{i} double" for i in range(5))), "seen")
     copies = seen.where("body is not null").groupBy("body").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     seen = salted_join(seen, copies, ["body"], "left", spread=F.col("path"))
     copied = F.when(F.col("n") >= 4, 7.0).when(F.col("n") == 3, 4.0).when(F.col("n") == 2, 2.5).otherwise(0.0)
+    copied = copied * F.pow(F.least(F.lit(1.0), F.col("size") / BODY_CHARS), F.lit(3.0))
     key = F.replace("path", F.lit("\\"), F.lit("/"))
     folder = F.when(key.contains("/"), F.regexp_replace(key, r"/[^/]*$", "")).otherwise(F.lit(""))
     seen = seen.select("repo_id", "path", folder.alias("dir"), (F.col("e0") + FILE_PRIOR).alias("e0"), "e1", "e2", (F.col("e3") + copied).alias("e3"), "e4")
