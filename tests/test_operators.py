@@ -12,7 +12,7 @@ from tarnwell.functions import scalar as fn
 from tarnwell.operators import graph, logs, search, sqlguard, tabular
 
 SF = Path(os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001"))
-SAMPLE = ["p1_found", "p1_key_totals", "p4_found", "p4_orphans_by_period", "p5_found", "agg_service_inventory", "agg_fingerprint", "jn_symbol_token_pairs", "g_cycles", "r_calls", "fts_rank", "vector_knn", "st_incremental", "sql_ddl_status"]
+SAMPLE = ["p1_found", "p1_key_totals", "p4_found", "p4_orphans_by_period", "p5_found", "agg_service_inventory", "agg_fingerprint", "jn_symbol_token_pairs", "g_cycles", "r_calls", "fts_rank", "vector_knn", "st_incremental", "sql_ddl_status", "g_references", "g_file_context", "g_route_map", "x_ids_at_risk", "r_best_candidate", "r_mentions", "g_reverse_files", "flt_risk", "src_http_logs", "sql_readonly", "sql_scan", "x_git_changes", "x_module_specifier", "search_padding", "sql_ddl_plan"]
 NAMES = [n for n in entry.oracle_sql() if n in SAMPLE or os.environ.get("TEST_ALL_QUERIES")]
 
 
