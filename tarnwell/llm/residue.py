@@ -243,14 +243,15 @@ def word_runs(shape: str) -> list[str]:
 
 _FILLER_HINTS = ("blah", "asdf", "qwer", "zxcv", "foo bar baz", "xxxx", "will appear", "goes here", "comes here", "in this place", "sample", "dummy", "example", "placeholder", "write", "replace", "texte", "blindtext", "văn", "mẫu")
 _MARK_HINTS = ("{", "[", "<", "$", "%", "@@", "__", "&lt;", "(fill", "(insert", "(enter", "tbd", "todo:")
+_TALK_HINTS = ("e form", "replaced", "substituted", "expanded", "interpolated", "stand", "expands", "placeholder", "template", "r form", "ersetzt", "eingesetzt", "steht", "platzhalter", "la forme", "remplac", "tient lieu", "dạng", "thay")
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
-def has_filler(unit: str) -> bool:
+def has_filler(unit: str, latin: bool = True) -> bool:
     low = unit.casefold()
     if any(x in low for x in _FILLER_HINTS) and FILLER.search(unit) and not re.search(r"[\"“„«'][^\"”“»']{0,60}(?:lorem|blah|asdf|text goes here|sample|placeholder)", unit, re.I):
         return True
-    ws = _LETTERS.findall(low)
+    ws = _LETTERS.findall(low) if latin else ()
     return len(ws) >= 5 and sum(w in LATIN for w in ws) >= 0.7 * len(ws)
 
 
@@ -276,10 +277,10 @@ def _hash(text: str) -> int:
 
 def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
-        columns: dict[str, list] = {c: [] for c in ("found", "talk", "filler", "slots", "shapes", "page")}
+        columns: dict[str, list] = {c: [] for c in ("found", "talk", "filler", "at", "slot", "kind", "fill", "shapes", "page")}
         for text in b["text"]:
             us, low = units(text), text.casefold()
-            marked, talking = any(x in low for x in _MARK_HINTS), TALKS.search(text) is not None
+            marked, talking = any(x in low for x in _MARK_HINTS), any(x in low for x in _TALK_HINTS) and TALKS.search(text) is not None
             found, said, slots_, shapes = [], set(), set(), []
             for u in us:
                 template, fills = slots(u) if marked else ("", [])
@@ -292,20 +293,21 @@ def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 shape, parts = skeleton(PLACEHOLDERS.sub("\x02", u) if fills else u)
                 shapes.append(shape)
                 slots_ |= {(shape, *x) for x in parts}
-            hinted = any(x in low for x in _FILLER_HINTS) or not _ONLY_LATIN.isdisjoint(_LETTERS.findall(low))
+            hinted, latin = any(x in low for x in _FILLER_HINTS), not _ONLY_LATIN.isdisjoint(_LETTERS.findall(low))
             fenced = "\x00" in us
             page = None if fenced else page_lines(text, us)
             columns["found"].append(found)
             columns["talk"].append(sorted(said))
-            columns["filler"].append(hinted and any(map(has_filler, us)))
-            columns["slots"].append([{"shape": a, "slot": i, "kind": k, "fill": h} for a, i, k, h in sorted(slots_)])
+            columns["filler"].append((hinted or latin) and any(has_filler(u, latin) for u in us))
+            for name, values in zip(("at", "slot", "kind", "fill"), zip(*sorted(slots_)) if slots_ else ((),) * 4):
+                columns[name].append(values)
             columns["shapes"].append([] if fenced else sorted(set(shapes)))
             columns["page"].append(None if page is None else sorted({shapes[i] for i in page}))
         yield pd.DataFrame({"doc_id": b["doc_id"], **columns})
 
 
 _SCAN = """doc_id bigint, found array<struct<template: string, slot: int, fill: string, key: string, form: string>>, talk array<string>, filler boolean,
-    slots array<struct<shape: bigint, slot: int, kind: int, fill: bigint>>, shapes array<bigint>, page array<bigint>"""
+    at array<bigint>, slot array<int>, kind array<int>, fill array<bigint>, shapes array<bigint>, page array<bigint>"""
 
 
 def _bare(scan: DataFrame) -> DataFrame:
@@ -314,7 +316,7 @@ def _bare(scan: DataFrame) -> DataFrame:
     Records are aligned by the template of each sentence. A slot is induced from what its records hold: it needs two
     different values, and twice as many values as identifiers, names and gaps, or it is a place for identifiers.
     """
-    slot = scan.select("doc_id", F.explode("slots").alias("x")).select("doc_id", "x.*")
+    slot = scan.select("doc_id", F.inline(F.arrays_zip(F.col("at").alias("shape"), "slot", "kind", "fill")))
     empty = slot.where(F.col("kind").isin(NAME, MISSING))
     value = F.col("kind") == VALUE
     held = slot.groupBy("shape", "slot").agg(F.count_if(value).alias("values"), F.count_if(~value).alias("others"), F.min(F.when(value, F.col("fill"))).alias("a"), F.max(F.when(value, F.col("fill"))).alias("b"))
