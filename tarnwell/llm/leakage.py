@@ -19,6 +19,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .syntax import spread
+
 #: Words in a fingerprinted gram, and grams in a window: any shared span of GRAM + WINDOW - 1 words shares a fingerprint.
 GRAM, WINDOW = 4, 3
 #: Words in a gram of the extension.
@@ -286,7 +288,7 @@ def leaks(documents: DataFrame, items: DataFrame, least: float = LEAST) -> DataF
     Defined cases: NULL and empty texts hold nothing; ids that occur with several texts are taken as they come; rows
     without id are ignored; an item shorter than a gram is looked up as a whole, by all runs of its length.
     """
-    docs = documents.where(F.col("doc_id").isNotNull() & (F.length("text") > 0)).select("doc_id", "text")
+    docs = spread(documents.where(F.col("doc_id").isNotNull() & (F.length("text") > 0)).select("doc_id", "text"))
     schema = "doc_id bigint, item_id bigint, share double"
     found = documents.sparkSession.createDataFrame([], schema)
     for block in _blocks(items):

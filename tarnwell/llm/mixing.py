@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import Scratch
+from .syntax import spread
 
 #: A folder with byte_bpe_50k.tiktoken and the other public vocabularies; a parameter of every function here.
 TOKENIZERS = "/opt/tokenizers"
@@ -39,7 +40,7 @@ def token_counts(documents: DataFrame, tokenizers: str = TOKENIZERS) -> DataFram
         for b in batches:
             yield pd.DataFrame({"doc_id": b["doc_id"], "source": b["source"], "n_tokens": [sum(len(encode(t[i : i + 500_000])) for i in range(0, len(t), 500_000)) if isinstance(t, str) else 0 for t in b["text"]]})
 
-    docs = documents.where(F.col("doc_id").isNotNull()).select("doc_id", "source", "text")
+    docs = spread(documents.where(F.col("doc_id").isNotNull()).select("doc_id", "source", "text"))
     return docs.mapInPandas(count, "doc_id bigint, source string, n_tokens bigint")
 
 

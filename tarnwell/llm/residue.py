@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..operators.skew import salted_join
 from ..session import Scratch
+from .syntax import spread
 
 #: A text in place of a mark that is longer than this is no value of the slot.
 VALUE_CHARS = 60
@@ -339,7 +340,7 @@ def residue(documents: DataFrame) -> DataFrame:
     Defined cases: NULL and empty texts, and NULL ids, give no row; each row of documents counts by its doc_id,
     a repeated one once; texts are read whole.
     """
-    docs = documents.where(F.col("doc_id").isNotNull() & (F.length("text") > 0)).select("doc_id", "text")
+    docs = spread(documents.where(F.col("doc_id").isNotNull() & (F.length("text") > 0)).select("doc_id", "text"))
     scan = Scratch(documents.sparkSession, "residue").save(docs.mapInPandas(_scan, _SCAN), "scan")
     slot = scan.select("doc_id", F.explode("found").alias("x")).select("doc_id", "x.*")
     same = slot.where("key is not null").groupBy("template", "slot").agg(F.min("fill").alias("a"), F.max("fill").alias("b"), F.min("key").alias("key"), F.min("form").alias("form"))

@@ -31,11 +31,22 @@ def current_files(files: DataFrame) -> DataFrame:
 BROADCAST_BYTES = 32 << 20
 
 
+#: Bytes a core below which an input is too small for its splits to keep all cores at work.
+SMALL_BYTES = 1 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores if its files are too small to be split over them; larger inputs are read where they lie."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < cores * SMALL_BYTES else df
+
+
 def with_language(contents: DataFrame, files: DataFrame) -> DataFrame:
     """(repo_id, path, content, language): contents with the current language of the file, NULL if it has none."""
     known = current_files(files)
     size = files.agg(F.sum(F.coalesce(F.octet_length("path"), F.lit(0)) + F.coalesce(F.octet_length("repo_id"), F.lit(0)) + 40)).first()[0] or 0
-    body = contents.select("repo_id", "path", "content", F.replace("path", F.lit("\\"), F.lit("/")).alias("key"))
+    body = spread(contents.select("repo_id", "path", "content", F.replace("path", F.lit("\\"), F.lit("/")).alias("key")))
     return body.join(F.broadcast(known) if size <= BROADCAST_BYTES else known, ["repo_id", "key"], "left").drop("key")
 
 
