@@ -118,6 +118,9 @@ DECLARATIONS = {
 
 
 def literals(contents: DataFrame) -> DataFrame:
-    """(repo_id, path, value, n): quoted strings of one line."""
-    found = F.regexp_extract_all("content", F.lit(r"(?m)\"((?:[^\"\\\n]|\\.)+)\""), F.lit(1))
+    """(repo_id, path, value, n): quoted strings of one line, of any length.
+
+    Possessive, as Java takes a stack frame for every repeat it could go back to; none can begin another match.
+    """
+    found = F.regexp_extract_all("content", F.lit(r"\"((?:[^\"\\\n]++|\\[^\n])++)\""), F.lit(1))
     return contents.where("content is not null").select("repo_id", "path", F.explode(found).alias("value")).groupBy("repo_id", "path", "value").agg(F.count(F.lit(1)).alias("n"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tarnwell.functions.scalar import is_test_path
 from tarnwell.operators import context, graph, hierarchy, imports, resolve, search, sections, sqlguard, tabular
-from tarnwell.sources import git, remote
+from tarnwell.sources import files, git, remote
 from tarnwell.streaming import changes
 
 SYMBOL = "repo_id string, symbol_id string, file_path string, name string, kind string, line int, signature string, parent_symbol_id string"
@@ -204,3 +204,10 @@ def test_specifiers_of_nothing(spark):
     none = spark.createDataFrame([("r", "a.ts", None), ("r", "b.md", "import x from './a'")], "repo_id string, path string, content string")
     assert imports.specifiers(none).count() == 0
     assert imports.resolve_specifiers(imports.specifiers(none), none.select("repo_id", "path")).count() == 0
+
+
+def test_literals_of_any_length(spark, rows):
+    long = "ab\\\"" * 50_000
+    t = [("r", "a", f'x = "{long}"; y = "{long[:8]}'), ("r", "b", 'x "a" y "b\\"c" z "d\n"e" "f\\\rg" "a"'), ("r", "c", None)]
+    found = rows(files.literals(spark.createDataFrame(t, "repo_id string, path string, content string")))
+    assert found == sorted([("r", "a", long, 1), ("r", "b", "a", 2), ("r", "b", 'b\\"c', 1), ("r", "b", "e", 1), ("r", "b", "f\\\rg", 1)], key=repr)
