@@ -211,3 +211,26 @@ def test_literals_of_any_length(spark, rows):
     t = [("r", "a", f'x = "{long}"; y = "{long[:8]}'), ("r", "b", 'x "a" y "b\\"c" z "d\n"e" "f\\\rg" "a"'), ("r", "c", None)]
     found = rows(files.literals(spark.createDataFrame(t, "repo_id string, path string, content string")))
     assert found == sorted([("r", "a", long, 1), ("r", "b", "a", 2), ("r", "b", 'b\\"c', 1), ("r", "b", "e", 1), ("r", "b", "f\\\rg", 1)], key=repr)
+
+
+@pytest.fixture(scope="module")
+def meant(spark):
+    y = [("r", f"s{i}", f"f{i % 3}", "log", "function", i, None, None) for i in range(6)]
+    y += [("r", "callee:odd", "f0", "odd", "function", 1, None, None), ("r", "O", "f0", "Own", "class", 1, None, None), ("r", "P", "f1", "size", "property", 2, None, "O"), ("r", "Q", "f2", "once", "function", 1, None, None), ("r", "N", None, "log", "function", 1, None, None)]
+    e = [("r", "s0", "callee:log", "CALLS"), ("r", "s0", "callee:odd", "CALLS"), ("r", "s1", "property:Own.size", "PROPERTY_REF"), ("r", "s1", "property:X.size", "PROPERTY_WRITE"), ("r", "Q", "callee:once", "CALLS"), ("r", "Q", "callee:log", "TYPE_REF"), ("r", "N", "callee:log", "CALLS"), ("r", "O", "s0", "IMPORTS"), ("r", "z", "callee:log", "CALLS"), ("r", "s2", None, "CALLS"), ("r", "s1", "s0", "IMPORTS")]
+    return spark.createDataFrame(y, SYMBOL), spark.createDataFrame([(i, *x, 0.5 + i / 100, None, None) for i, x in enumerate(e)], EDGE)
+
+
+def test_pairs_come_once_and_keys_with_many_are_split(meant, rows, monkeypatch):
+    y, e = meant
+    logs = [f"s{i}" for i in range(6)] + ["N"]
+    want = sorted([("r", s, i) for i in (0, 6, 8) for s in logs] + [("r", "callee:odd", 1), ("r", "P", 2), ("r", "P", 3), ("r", "Q", 4), ("r", "s0", 7), ("r", "s0", 10)], key=repr)
+    assert rows(graph.token_pairs(y, e)) == want
+    monkeypatch.setattr(graph, "PAIRS_A_TASK", 4)
+    assert rows(graph.token_pairs(y, e)) == want
+    assert rows(graph._hot_products(graph._meaning(e, "repo_id"), graph._meant(y))) == [("r", "=callee:log", 7)]
+
+
+def test_pairs_are_not_shuffled_again(meant):
+    plan = graph.token_pairs(*meant)._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("ShuffledHashJoin") < plan.index("Exchange") and "Aggregate" not in plan[: plan.index("ShuffledHashJoin")]
