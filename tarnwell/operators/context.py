@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .graph import CALL_TYPES, DEPENDENCY_TYPES, endpoints, hot_targets, interface_siblings, is_token, token_pairs
+from .graph import CALL_TYPES, DEPENDENCY_TYPES, endpoints, hot_targets, interface_siblings, is_token, outside_callers, token_pairs
 from .resolve import kind_rank
 from .skew import salted_join
 
@@ -72,13 +72,11 @@ def change_set(changes: DataFrame) -> DataFrame:
     return best.select("repo_id", "path", "x.change")
 
 
-def change_impact(changes: DataFrame, impact: DataFrame) -> DataFrame:
-    """(repo_id, n_changed, n_affected, confidence, level): files that need a changed file by impact_files(), the changed
+def change_impact(changes: DataFrame, symbols: DataFrame, edges: DataFrame) -> DataFrame:
+    """(repo_id, n_changed, n_affected, confidence, level): files that need a changed file as in impact_files(), the changed
     ones left out, with the greatest confidence; level by the number of affected files: low to 5, medium to 20, then high."""
     c = change_set(changes)
-    met = impact.join(c.select("repo_id", F.col("path").alias("target_file")), ["repo_id", "target_file"])
-    met = met.join(c.select("repo_id", F.col("path").alias("caller_file")), ["repo_id", "caller_file"], "left_anti")
-    per = met.groupBy("repo_id").agg(F.countDistinct("caller_file").alias("n_affected"), F.max("confidence").alias("confidence"))
+    per = outside_callers(symbols, edges, c).groupBy("repo_id").agg(F.count(F.lit(1)).alias("n_affected"), F.max("confidence").alias("confidence"))
     r = c.groupBy("repo_id").agg(F.count(F.lit(1)).alias("n_changed")).join(per, "repo_id", "left")
     n = F.coalesce("n_affected", F.lit(0))
     return r.select("repo_id", "n_changed", n.alias("n_affected"), "confidence", F.when(n > 20, "high").when(n > 5, "medium").otherwise("low").alias("level"))

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar as fn
 from ..operators import context as op
-from ..operators import graph
 from ..sources.tables import table
 from . import base
 from .graph import _B, _EP, _IMPACT, _PAIRS
@@ -27,11 +26,6 @@ def _changes(s, d):
     return f.where("n > 1 or old_path is not null").select("repo_id", "path", "old_path", F.when(F.col("old_path").isNotNull(), "renamed").otherwise("modified").alias("change"))
 
 
-def _impact(s, d):
-    e, y = base.edges(s, d), base.symbols(s, d)
-    return graph.impact_files(graph.token_pairs(y, e), e, y)
-
-
 def _routes(s, d):
     """Every method of a class as a route of that class."""
     y = base.symbols(s, d)
@@ -71,7 +65,7 @@ QUERIES = {
     "g_file_context": _batches(lambda p: p),
     "g_batch_context": _batches(lambda p: F.substring_index(p, "/", 2)),
     "g_impact_seed": lambda s, d: op.impact_seed(base.symbols(s, d), base.edges(s, d)),
-    "g_change_impact": lambda s, d: op.change_impact(_changes(s, d), _impact(s, d)),
+    "g_change_impact": lambda s, d: op.change_impact(_changes(s, d), base.symbols(s, d), base.edges(s, d)),
     "g_route_map": lambda s, d: op.route_map(_routes(s, d), base.symbols(s, d)),
     "r_route_handlers": lambda s, d: op.route_handlers(_routes(s, d), base.symbols(s, d)),
     "r_interface_dispatch": _of(op.dispatch, "IMPLEMENTS"),
