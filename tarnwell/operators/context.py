@@ -21,10 +21,9 @@ def _first(df: DataFrame, keys: list[str], *order: Column | str, most: int = 1)
 def references(symbols: DataFrame, edges: DataFrame) -> DataFrame:
     """(repo_id, symbol_id, edge_id, type, from_id, source_file): every edge that means a symbol, by id or by token;
     source_file is NULL if the source is no symbol."""
-    pairs = token_pairs(symbols, edges)
     src = symbols.select("repo_id", F.col("symbol_id").alias("from_id"), F.col("file_path").alias("source_file"))
-    e = edges.select("repo_id", "edge_id", "type", "from_id").join(src, ["repo_id", "from_id"], "left")
-    return pairs.join(e, ["repo_id", "edge_id"]).select("repo_id", "symbol_id", "edge_id", "type", "from_id", "source_file")
+    e = edges.select("repo_id", "edge_id", "to_id", "type", "from_id").join(src.hint("shuffle_hash"), ["from_id", "repo_id"], "left")
+    return token_pairs(symbols, e, "type", "from_id", "source_file")
 
 
 def edge_priority(kind: Column) -> Column:

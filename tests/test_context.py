@@ -234,3 +234,10 @@ def test_pairs_come_once_and_keys_with_many_are_split(meant, rows, monkeypatch):
 def test_pairs_are_not_shuffled_again(meant):
     plan = graph.token_pairs(*meant)._jdf.queryExecution().executedPlan().toString()
     assert plan.index("ShuffledHashJoin") < plan.index("Exchange") and "Aggregate" not in plan[: plan.index("ShuffledHashJoin")]
+
+
+def test_references_and_field_access_carry_the_edge(meant, rows):
+    y, e = meant
+    assert [r for r in rows(context.references(y, e)) if r[1] in ("P", "callee:odd")] == [("r", "P", 2, "PROPERTY_REF", "s1", "f1"), ("r", "P", 3, "PROPERTY_WRITE", "s1", "f1"), ("r", "callee:odd", 1, "CALLS", "s0", "f0")]
+    joins = [x for x in context.references(y, e)._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Join " in x]
+    assert joins and not any("edge_id" in x.partition("Join ")[2] for x in joins)
