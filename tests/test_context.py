@@ -236,6 +236,16 @@ def test_pairs_are_not_shuffled_again(meant):
     assert plan.index("ShuffledHashJoin") < plan.index("Exchange") and "Aggregate" not in plan[: plan.index("ShuffledHashJoin")]
 
 
+def test_callers_without_pairs_are_those_of_the_pairs(meant, rows):
+    y, e = meant
+    pairs = graph.impact_files(y, e)
+    assert rows(pairs) == [("r", "f0", "f1", 0.6, None, 1), ("r", "f1", "f0", 0.5, None, 2), ("r", "f2", "f0", 0.5, None, 2)]
+    assert rows(graph.caller_files(y, e)) == rows(pairs.select("repo_id", "caller_file").distinct()) == [("r", "f0"), ("r", "f1")]
+    for changed in (["f0"], ["f1", "f2"], ["f3"]):
+        met = pairs.where(F.col("target_file").isin(changed) & ~F.col("caller_file").isin(changed)).groupBy("repo_id", "caller_file").agg(F.max("confidence"))
+        assert rows(graph.outside_callers(y, e, y.sparkSession.createDataFrame([("r", c) for c in changed], "repo_id string, path string"))) == rows(met)
+
+
 def test_references_and_field_access_carry_the_edge(meant, rows):
     y, e = meant
     assert [r for r in rows(context.references(y, e)) if r[1] in ("P", "callee:odd")] == [("r", "P", 2, "PROPERTY_REF", "s1", "f1"), ("r", "P", 3, "PROPERTY_WRITE", "s1", "f1"), ("r", "callee:odd", 1, "CALLS", "s0", "f0")]
